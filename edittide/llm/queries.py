@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from edittide.llm import near
+from pyspark.sql import functions as F
+
+from edittide.llm import decontaminate, mixing, near, toxicity
 from edittide.llm.common import table
 
 QUERIES: dict = {}
@@ -24,3 +26,48 @@ def op8_near_duplicates(spark, sf_dir):
     """Components of documents linked at 85 % over three-word shingles."""
     found = near.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
     return found.select("doc_id", "n_shingles", "component_id", "kept", "class_id", "n_links")
+
+
+#: What ends a word of the decontamination query.
+_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@query(
+    f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce({_LOW.format("text")}, ''), '{_WORD}') AS w FROM documents),
+i AS (SELECT item_id, w, least(10, len(w)) AS m FROM (SELECT item_id, regexp_extract_all(coalesce({_LOW.format("text")}, ''), '{_WORD}') AS w FROM benchmark) WHERE len(w) > 0),
+g AS (SELECT DISTINCT item_id, m, array_to_string(w[k:k + m - 1], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - m + 2)) AS k FROM i)),
+s AS (SELECT DISTINCT m FROM i),
+e AS (SELECT doc_id, m, k, array_to_string(w[k:k + m - 1], ' ') AS g FROM (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS k FROM d, s WHERE len(w) >= m)),
+h AS (SELECT doc_id, e.m AS m, k, item_id FROM e JOIN g ON e.m = g.m AND e.g = g.g),
+n AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + m)) AS p FROM h) GROUP BY doc_id),
+t AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS items FROM h GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN t USING (doc_id)"""
+)
+def op1_decontamination(spark, sf_dir):
+    """Documents that hold ten words of a benchmark item in a row."""
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+#: Categories of the labels table, in chain order.
+CATEGORIES = {"low_quality": F.col("quality") == 0, "toxic": F.col("toxic") == 1}
+
+
+@query()
+def op6_toxicity(spark, sf_dir):
+    """Every document's category probabilities; toxic: what the chain flags."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    chain = toxicity.train(docs, table(spark, sf_dir, "labels"), CATEGORIES)
+    return toxicity.scored(docs, chain).select("doc_id", "p_low_quality", "p_toxic", F.col("is_toxic").alias("toxic"))
+
+
+#: Weights of the sources in turn.
+WEIGHTS = (5.0, 2.0, 1.0)
+
+
+@query()
+def op7_mixing(spark, sf_dir):
+    """Sources mixed 5 : 2 : 1 in turn to 150 % of all words, none beyond two passes."""
+    return mixing.mixed(table(spark, sf_dir, "documents"), [mixing.constant(w) for w in WEIGHTS]).select("doc_id", "size", "source_size", "target", "taken", "source", "position")

@@ -95,6 +95,12 @@ def _hashes(low: np.ndarray, inside: np.ndarray, breaks: np.ndarray) -> tuple[np
 def words(column: pa.Array, inside: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, rows, hash of each word, words before each of those rows and after the last) for
     runs of whole rows of about BLOCK bytes. A longer row comes alone."""
+    for first, rows, h, at, _ in placed(column, inside):
+        yield first, rows, h, at
+
+
+def placed(column: pa.Array, inside: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """As `words`, and start and end of each word (2 x n) in the bytes of `buffers`."""
     raw, at = buffers(column)
     n, i = len(at) - 1, 0
     while i < n:
@@ -104,11 +110,11 @@ def words(column: pa.Array, inside: np.ndarray) -> Iterator[tuple[int, int, np.n
             low = _LOWER[raw[at[i] : at[j]]]
             starts = (at[i:j] - at[i])[: j - i]
             if len(low):
-                start, _, h = _hashes(low, inside[low], starts)
-                counts = np.searchsorted(start, at[i : j + 1] - at[i])
+                start, end, h = _hashes(low, inside[low], starts)
+                counts, ends = np.searchsorted(start, at[i : j + 1] - at[i]), np.stack([start, end]) + at[i]
             else:
-                h, counts = np.zeros(0, np.uint64), np.zeros(j - i + 1, np.int64)
-            yield i, j - i, h, counts
+                h, counts, ends = np.zeros(0, np.uint64), np.zeros(j - i + 1, np.int64), np.zeros((2, 0), np.int64)
+            yield i, j - i, h, counts, ends
         else:
             parts, s = [], int(at[i])
             while s < at[j]:
@@ -117,10 +123,11 @@ def words(column: pa.Array, inside: np.ndarray) -> Iterator[tuple[int, int, np.n
                     nxt = np.flatnonzero(~inside[_LOWER[raw[e : min(e + BLOCK, int(at[j]))]]])
                     e = e + int(nxt[0]) if len(nxt) else min(e + BLOCK, int(at[j]))
                 low = _LOWER[raw[s:e]]
-                parts.append(_hashes(low, inside[low], np.zeros(0, np.int64))[2])
+                start, end, h = _hashes(low, inside[low], np.zeros(0, np.int64))
+                parts.append((h, np.stack([start, end]) + s))
                 s = e
-            h = np.concatenate(parts)
-            yield i, 1, h, np.array([0, len(h)])
+            h = np.concatenate([p[0] for p in parts])
+            yield i, 1, h, np.array([0, len(h)]), np.concatenate([p[1] for p in parts], axis=1)
         i = j
 
 
