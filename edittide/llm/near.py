@@ -9,7 +9,7 @@
 3. Bands of coordinates are hashed into buckets. In a bucket every member is verified against the
    bucket's smallest id on the full sets: linear in the bucket, whatever its size.
 4. Classes that a bucket holds but that these links do not join may still be linked to each other.
-   Such a class is compared with the others of its hub, in blocks of sketches held as bytes; the
+   Such a class is compared with the others of its hub, in blocks of sketches held as four bits a coordinate; the
    triangle inequality on the distances to the hub and the agreement of the sketches leave few pairs,
    which are verified on the full sets like the first. Nothing is capped.
 5. Links become components by alternating large-star and small-star steps.
@@ -30,6 +30,8 @@ from edittide.llm.common import cut
 
 #: Coordinates of a band, and the chance that a pair at the threshold shares no band.
 ROWS, MISS = 5, 1e-6
+#: Sketch coordinates for each one that the bands use; the rest sharpen the comparison of sketches.
+WIDER = 4
 #: Members that one block of a hub holds.
 BLOCK_MEMBERS = 512
 #: Standard deviations of sketch agreement below the threshold that are still verified.
@@ -77,12 +79,13 @@ def _sketched(k: int, bands: int):
                 np.cumsum(W.mix(h), out=sums[0, 1:])
                 np.cumsum(W.mix(h ^ np.uint64(0x2545F4914F6CDD1D)), out=sums[1, 1:])
                 f = (sums[:, at[1:]] - sums[:, at[:-1]]).astype(np.int64)
-                s = sketches(h, at, bands * ROWS)
+                s = sketches(h, at, WIDER * bands * ROWS)
                 band = np.repeat(np.arange(bands, dtype=np.uint64)[None, :], rows, axis=0)
                 for j in range(ROWS):
-                    band = W.mix(band * np.uint64(0x9E3779B97F4A7C15) + s.reshape(rows, bands, ROWS)[:, :, j])
+                    band = W.mix(band * np.uint64(0x9E3779B97F4A7C15) + s[:, j : bands * ROWS : ROWS])
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * bands), pa.array(band.astype(np.int64).ravel()))
-                bits = W.mix(s).astype(np.uint8)
+                bits = (W.mix(s) & np.uint64(15)).astype(np.uint8)
+                bits = bits[:, ::2] << 4 | bits[:, 1::2]
                 ids = b.column(0).slice(first, rows)
                 yield pa.RecordBatch.from_arrays([ids, pa.array(n), pa.array(f[0]), pa.array(f[1]), lists, pa.array([r.tobytes() for r in bits], pa.binary())], schema=schema)
 
@@ -133,6 +136,7 @@ def _near_blocks(low: float, percent: int):
     the hub and sizes allow a link.
     """
     schema = pa.schema([("hub", pa.int64()), ("doc", pa.int64())])
+    equal = np.array([(x >> 4 == 0) + (x & 15 == 0) for x in range(256)], np.uint8)
     apart, least = 1 - percent / 100 + 1e-9, percent / 100 - 1e-9
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,7 +163,7 @@ def _near_blocks(low: float, percent: int):
                 for y in rows[i:j]:
                     fit = (c != y[4]) & (np.abs(f - y[6]) <= apart) & (np.minimum(m, y[5]) >= least * np.maximum(m, y[5]))
                     if at := np.flatnonzero(fit).tolist():
-                        same = (s[at] == np.frombuffer(y[7], np.uint8)).mean(axis=1) >= low
+                        same = equal[s[at] ^ np.frombuffer(y[7], np.uint8)].mean(axis=1) / 2 >= low
                         found += [(min(y[3], int(d[a])), max(y[3], int(d[a]))) for a, ok in zip(at, same) if ok]
                 i = j
             found = list(set(found))
@@ -201,7 +205,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     null component and kept = false. Rows that repeat a doc_id count as one document.
     """
     bands = bands_for(percent / 100)
-    t = bands * ROWS
+    t = WIDER * bands * ROWS
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     own = cut(docs.mapInArrow(_sketched(k, bands), _SKETCH))
     some = own.filter("n > 0 and doc_id is not null")
@@ -226,7 +230,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     cells = ("hub", "salt", "kind", "doc", "comp", "n", "far", "bits")
     members = asked.withColumns({"salt": F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("long"), "kind": F.lit(0)}).select(*cells)
     askers = asked.filter("kind = 1").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("blocks") - 1).cast("long")))).select(*cells)
-    j = percent / 100
+    j = percent / 100 + (1 - percent / 100) / 16  # coordinates are held as four bits
     low = j - SLACK * math.sqrt(j * (1 - j) / t)
     rows = members.unionByName(askers).repartition("hub", "salt").sortWithinPartitions("hub", "salt", "kind")
     more = rows.mapInArrow(_near_blocks(low, percent), "hub long, doc long").distinct()
