@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from edittide.llm import decontaminate, mixing, near, toxicity
+from edittide.llm import ann, decontaminate, hosts, html, lengths, mixing, near, quotes, toxicity, warc
 from edittide.llm.common import table
 
 QUERIES: dict = {}
@@ -71,3 +71,53 @@ WEIGHTS = (5.0, 2.0, 1.0)
 def op7_mixing(spark, sf_dir):
     """Sources mixed 5 : 2 : 1 in turn to 150 % of all words, none beyond two passes."""
     return mixing.mixed(table(spark, sf_dir, "documents"), [mixing.constant(w) for w in WEIGHTS]).select("doc_id", "size", "source_size", "target", "taken", "source", "position")
+
+
+@query()
+def op3_token_counts(spark, sf_dir):
+    """Documents by encoded length, with suffix sums for every context limit."""
+    return lengths.suffix_sums(lengths.histogram(table(spark, sf_dir, "documents")))
+
+
+#: Rules of the url query: verdict, host, path.
+RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
+
+
+@query()
+def op4_url_filter(spark, sf_dir):
+    """Verdict for every page's url: rules first, else the host's reputation by labelled pages."""
+    outcomes = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("good"))
+    return hosts.judged(table(spark, sf_dir, "pages").select("page_id", "url"), outcomes, RULES)
+
+
+@query()
+def op5_quotation_links(spark, sf_dir):
+    """Messages without quotes, in reply order."""
+    return quotes.threads(table(spark, sf_dir, "conversations"))
+
+
+@query(
+    """
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, url, h, CAST(strlen(h) AS BIGINT) AS payload_bytes, min(page_id) OVER (PARTITION BY h) AS first, sha1(h) AS x FROM p),
+n AS (SELECT *, list_transform(range(0, 40), lambda i: instr('0123456789abcdef', substr(x, CAST(i + 1 AS BIGINT), 1)) - 1) AS v FROM d),
+b AS (SELECT *, list_transform(range(0, 32), lambda j: CAST((v[CAST((j * 5) // 4 + 1 AS BIGINT)] * 16 + coalesce(v[CAST((j * 5) // 4 + 2 AS BIGINT)], 0)) // CAST(pow(2, 3 - (j * 5) % 4) AS BIGINT) % 32 AS BIGINT)) AS q FROM n)
+SELECT page_id, url, payload_bytes, array_to_string(list_transform(q, lambda z: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', z + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM b"""
+)
+def op10_warc(spark, sf_dir):
+    """Every page written to archives and read back through the index."""
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+@query()
+def op2_html_extraction(spark, sf_dir):
+    """Main text of every page."""
+    return html.extracted(table(spark, sf_dir, "pages"))
+
+
+@query()
+def op9_nearest(spark, sf_dir):
+    """The 20 vectors of largest inner product for every twentieth vector."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.nearest(e, e.filter("vec_id % 20 = 0"), k=20)
