@@ -51,8 +51,8 @@ def op1_decontamination(spark, sf_dir):
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-#: Categories of the labels table, in chain order.
-CATEGORIES = {"low_quality": F.col("quality") == 0, "toxic": F.col("toxic") == 1}
+#: Categories as conditions on the labels table, in chain order.
+CATEGORIES = {"low_quality": "quality = 0", "toxic": "toxic = 1"}
 
 
 @query()

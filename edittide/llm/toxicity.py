@@ -10,12 +10,12 @@ hashes of their ids, so the same rows each time); every document is scored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from edittide.llm import words as W
@@ -121,11 +121,11 @@ def _threshold(p: np.ndarray, y: np.ndarray) -> float:
     return float((p[order[i]] + p[order[min(i + 1, len(y) - 1)]]) / 2)
 
 
-def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], fit_rows: int = FIT_ROWS) -> Chain:
-    """Fits a chain on `fit_rows` labelled documents at most. categories: name to a boolean column over labels, in chain
+def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], fit_rows: int = FIT_ROWS) -> Chain:
+    """Fits a chain on `fit_rows` labelled documents at most. categories: name to a SQL condition over labels, in chain
     order; a null label counts as false. Without labelled rows every probability is 0.5 and nothing is flagged."""
     names = list(categories)
-    marks = labels.filter("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(*[F.max(F.coalesce(c, F.lit(False)).cast("int")).alias(f"_{i}") for i, c in enumerate(categories.values())])
+    marks = labels.filter("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(*[F.max(F.coalesce(F.expr(c), F.lit(False)).cast("int")).alias(f"_{i}") for i, c in enumerate(categories.values())])
     picked = marks.withColumn("_h", F.xxhash64("doc_id")).orderBy("_h", "doc_id").limit(fit_rows).drop("_h")
     joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(picked, "doc_id").select("doc_id", *[f"_{i}" for i in range(len(names))], "text")
     fields = "doc_id long, " + ", ".join(f"_{i} int" for i in range(len(names))) + ", words array<int>"
