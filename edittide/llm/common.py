@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,8 +24,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows, written once to the shared folder: later steps read them and survive lost executors."""
+    """The same rows, written once to the shared folder: later steps read them and survive lost executors.
+
+    What led to them is let go of at once, so that Spark's cleaner removes shuffle files of earlier steps, which would
+    otherwise stay on the executors' disks until the driver happens to collect its garbage.
+    """
     spark = df.sparkSession
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return out

@@ -21,14 +21,16 @@ from pyspark.sql import functions as F
 from edittide.llm import words as W
 
 #: Labelled rows to fit on; bits of the word hash; rows that must hold a word before it counts; folds.
-FIT_ROWS, BITS, LEAST_ROWS, FOLDS = 12_000, 20, 5, 3
+FIT_ROWS, BITS, LEAST_ROWS, FOLDS = 8_000, 20, 5, 3
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     inside = W.table("alnum")
     for b in batches:
         for first, rows, h, at in W.shingles(b.column(b.schema.get_field_index("text")), 1, inside):
-            ids = pa.array((h >> np.uint64(64 - BITS)).astype(np.int32))
+            pair = np.unique(np.repeat(np.arange(rows), np.diff(at)) << BITS | (h >> np.uint64(64 - BITS)).astype(np.int64))
+            at = np.searchsorted(pair >> BITS, np.arange(rows + 1))
+            ids = pa.array((pair & ((1 << BITS) - 1)).astype(np.int32))
             lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), ids)
             rest = [b.column(i).slice(first, rows) for i, n in enumerate(b.schema.names) if n != "text"]
             yield pa.RecordBatch.from_arrays([*rest, lists], names=[*(n for n in b.schema.names if n != "text"), "words"])
@@ -39,7 +41,7 @@ class Rows:
 
     def __init__(self, columns: np.ndarray, at: np.ndarray, width: int):
         self.columns, self.at, self.width = columns, at, width
-        self.own = np.repeat(np.arange(len(at) - 1), np.diff(at))
+        self.own = np.repeat(np.arange(len(at) - 1, dtype=np.int32), np.diff(at))
 
     def dot(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.own, w[self.columns], len(self.at) - 1)
@@ -129,7 +131,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], fit_ro
     picked = marks.withColumn("_h", F.xxhash64("doc_id")).orderBy("_h", "doc_id").limit(fit_rows).drop("_h")
     joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(picked, "doc_id").select("doc_id", *[f"_{i}" for i in range(len(names))], "text")
     fields = "doc_id long, " + ", ".join(f"_{i} int" for i in range(len(names))) + ", words array<int>"
-    got = joined.mapInArrow(_features, fields).toArrow().sort_by("doc_id").combine_chunks()
+    got = joined.mapInArrow(_features, fields).orderBy("doc_id").toArrow().combine_chunks()
     chain = Chain(names)
     rows = got.num_rows
     if not rows:
@@ -137,21 +139,20 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], fit_ro
         chain.thresholds = [0.5] * len(names)
         return chain
     lists = got["words"].chunk(0) if got["words"].num_chunks else pa.array([], pa.list_(pa.int32()))
-    raw = lists.flatten().to_numpy()
-    at = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
-    own = np.repeat(np.arange(rows), np.diff(at))
-    pair = np.unique(own.astype(np.int64) << BITS | raw)
-    own, raw = pair >> BITS, pair & ((1 << BITS) - 1)
+    raw, n = lists.flatten().to_numpy(), lists.value_lengths().to_numpy()
     held = np.bincount(raw, minlength=1 << BITS)
     chain.words = np.flatnonzero((held >= LEAST_ROWS) & (held <= 0.7 * max(rows, 8)))
-    spot = np.searchsorted(chain.words, raw)
-    spot = np.minimum(spot, max(len(chain.words) - 1, 0))
-    ok = chain.words[spot] == raw if len(chain.words) else np.zeros(len(raw), bool)
-    x = Rows(spot[ok], np.concatenate([[0], np.cumsum(np.bincount(own[ok], minlength=rows))]), len(chain.words))
-    fold = np.argsort(np.argsort(W.mix(got["doc_id"].to_numpy().astype(np.uint64)), kind="stable"), kind="stable") % FOLDS
+    spot = np.full(1 << BITS, -1, np.int32)
+    spot[chain.words] = np.arange(len(chain.words))
+    spot = spot[raw]
+    own = np.repeat(np.arange(rows, dtype=np.int32), n)[spot >= 0]
+    x = Rows(spot[spot >= 0], np.concatenate([[0], np.cumsum(np.bincount(own, minlength=rows))]), len(chain.words))
+    marks, ids = [got[f"_{i}"].to_numpy().astype(float) for i in range(len(names))], got["doc_id"].to_numpy()
+    del got, lists, raw, spot, own, held
+    fold = np.argsort(np.argsort(W.mix(ids.astype(np.uint64)), kind="stable"), kind="stable") % FOLDS
     earlier = np.zeros((rows, 0))
     for i in range(len(names)):
-        y = got[f"_{i}"].to_numpy().astype(float)
+        y = marks[i]
         out = np.zeros(rows)
         for f in range(FOLDS):
             train_, test = fold != f, fold == f
