@@ -31,7 +31,7 @@ from edittide.llm.common import cut
 #: Coordinates of a band, and the chance that a pair at the threshold shares no band.
 ROWS, MISS = 5, 1e-6
 #: Sketch coordinates for each one that the bands use; the rest sharpen the comparison of sketches.
-WIDER = 4
+WIDER = 6
 #: Members that one block of a hub holds.
 BLOCK_MEMBERS = 512
 #: Standard deviations of sketch agreement below the threshold that are still verified.
@@ -223,10 +223,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     at = first.select("hub", "doc", (1 - F.col("common") / (F.col("of_hub") + F.col("of_doc") - F.col("common"))).alias("far"))
     seen = at.unionByName(at.select("hub", F.col("hub").alias("doc"), F.lit(0.0).alias("far")).distinct())
     seen = seen.join(label.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("comp", F.coalesce("component", "doc")).drop("component")
-    home = seen.filter("doc = hub").select("hub", F.col("comp").alias("home"))
-    loose = seen.join(home, "hub").withColumn("kind", F.when(F.col("comp") == F.col("home"), 0).otherwise(1))
-    sizes = loose.groupBy("hub").agg(F.count("*").alias("c"), F.sum("kind").alias("q")).filter("q > 0").withColumn("blocks", F.ceil(F.col("c") / BLOCK_MEMBERS).cast("int"))
-    asked = loose.join(sizes.select("hub", "blocks"), "hub").join(reps.select(F.col("doc_id").alias("doc"), "n", "bits"), "doc")
+    of_hub = seen.groupBy("hub").agg(F.max(F.when(F.col("doc") == F.col("hub"), F.col("comp"))).alias("home"), F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    mixed = of_hub.filter("lo <> hi").select("hub", "home", F.ceil(F.col("c") / BLOCK_MEMBERS).cast("int").alias("blocks"))
+    loose = seen.join(mixed, "hub").withColumn("kind", F.when(F.col("comp") == F.col("home"), 0).otherwise(1))
+    asked = loose.join(reps.select(F.col("doc_id").alias("doc"), "n", "bits"), "doc")
     cells = ("hub", "salt", "kind", "doc", "comp", "n", "far", "bits")
     members = asked.withColumns({"salt": F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("long"), "kind": F.lit(0)}).select(*cells)
     askers = asked.filter("kind = 1").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("blocks") - 1).cast("long")))).select(*cells)
