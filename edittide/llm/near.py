@@ -9,9 +9,9 @@
 3. Bands of coordinates are hashed into buckets. In a bucket every member is verified against the
    bucket's smallest id on the full sets: linear in the bucket, whatever its size.
 4. Classes that a bucket holds but that these links do not join may still be linked to each other.
-   Such a class is compared with the others of its hub, in blocks of sketches held as four bits a coordinate; the
-   triangle inequality on the distances to the hub and the agreement of the sketches leave few pairs,
-   which are verified on the full sets like the first. Nothing is capped.
+   Such a class is compared with the others of its hub, in tiles of bounded size; the triangle inequality on the
+   distances to the hub and the agreement of the sketches, held as four bits a coordinate, choose the pairs that the
+   tile compares on the full sets. A tile emits only links that join components. Nothing is capped.
 5. Links become components by alternating large-star and small-star steps.
 """
 
@@ -32,8 +32,8 @@ from edittide.llm.common import cut
 ROWS, MISS = 5, 1e-6
 #: Sketch coordinates for each one that the bands use; the rest sharpen the comparison of sketches.
 WIDER = 6
-#: Members that one block of a hub holds.
-BLOCK_MEMBERS = 512
+#: Members and shingles, on average, that one block of a hub holds, and the texts that ask it in one tile.
+BLOCK_MEMBERS, BLOCK_SHINGLES, BLOCK_ASKERS = 512, 4_000_000, 4096
 #: Standard deviations of sketch agreement below the threshold that are still verified.
 SLACK = 4.75
 
@@ -92,6 +92,14 @@ def _sketched(k: int, bands: int):
     return run
 
 
+def _shared(a: np.ndarray, b: np.ndarray) -> int:
+    """Elements that two sorted sets share."""
+    few, many = (a, b) if len(a) < len(b) else (b, a)
+    if not len(few):
+        return 0
+    return int((many[np.minimum(np.searchsorted(many, few), len(many) - 1)] == few).sum())
+
+
 def _compared(k: int):
     """Rows sorted by (hub, salt, kind): the hub's text first (kind 0), then texts to compare with it."""
     inside = W.table("space")
@@ -108,8 +116,7 @@ def _compared(k: int):
                     if kinds[r] == 0:
                         key, held = (hubs[r], salts[r]), mine.copy()
                     elif key == (hubs[r], salts[r]) and len(held):
-                        place = np.minimum(np.searchsorted(held, mine), len(held) - 1)
-                        out.append((hubs[r], docs[r], int((held[place] == mine).sum()), len(held), len(mine)))
+                        out.append((hubs[r], docs[r], _shared(held, mine), len(held), len(mine)))
             yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*out)] if out else [pa.array([], pa.int64())] * 5, schema=schema)
 
     return run
@@ -129,45 +136,61 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     return rows.mapInArrow(_compared(k), "hub long, doc long, common long, of_hub long, of_doc long").distinct()
 
 
-def _near_blocks(low: float, percent: int):
-    """Rows sorted by (hub, salt, kind): a block of members (kind 0), then the unjoined ones (kind 1) to compare with it.
+def _near_blocks(k: int, low: float, percent: int):
+    """Rows sorted by (hub, tile, kind): a block of members (kind 0: in the hub's component, 1: not), then texts that ask
+    it (kind 2).
 
-    Emits pairs of different components whose sketches agree in `low` of the coordinates at least and whose distances to
-    the hub and sizes allow a link.
+    Sketches that agree in `low` of the coordinates at least, the distances to the hub and the sizes choose the pairs of
+    different components that are compared on their full sets, here in the block. Emits the linked pairs that join
+    components which the block has not joined so far: fewer than it has texts, whatever the number of pairs.
     """
-    schema = pa.schema([("hub", pa.int64()), ("doc", pa.int64())])
+    inside = W.table("space")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     equal = np.array([(x >> 4 == 0) + (x & 15 == 0) for x in range(256)], np.uint8)
     apart, least = 1 - percent / 100 + 1e-9, percent / 100 - 1e-9
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, block, packed = None, [], None
-        for b in batches:
-            hub, salt, kind, doc, comp, n, far, bits = (b.column(i) for i in range(8))
-            rows = list(zip(hub.to_pylist(), salt.to_pylist(), kind.to_pylist(), doc.to_pylist(), comp.to_pylist(), n.to_pylist(), far.to_pylist(), bits.to_pylist()))
+        key, block, packed, parent = None, [], None, {}
+
+        def root(x: int) -> int:
+            while x in parent:
+                x = parent[x]
+            return x
+
+        for batch in batches:
+            names = ("hub", "tile", "kind", "doc", "comp", "n", "far", "bits")
+            rows = list(zip(*(batch.column(c).to_pylist() for c in names)))
             found: list[tuple[int, int]] = []
-            i = 0
-            while i < len(rows):
-                if rows[i][:2] != key:
-                    key, block, packed = rows[i][:2], [], None
-                if rows[i][2] == 0:
-                    block.append(rows[i][3:])
-                    packed = None
-                    i += 1
-                    continue
-                j = i
-                while j < len(rows) and j - i < 256 and rows[j][:3] == rows[i][:3]:
-                    j += 1
-                if packed is None:
-                    packed = tuple(np.array(c) for c in list(zip(*block))[:4]) + (np.frombuffer(b"".join(x[4] for x in block), np.uint8).reshape(len(block), -1),)
-                d, c, m, f, s = packed
-                for y in rows[i:j]:
-                    fit = (c != y[4]) & (np.abs(f - y[6]) <= apart) & (np.minimum(m, y[5]) >= least * np.maximum(m, y[5]))
-                    if at := np.flatnonzero(fit).tolist():
-                        same = equal[s[at] ^ np.frombuffer(y[7], np.uint8)].mean(axis=1) / 2 >= low
-                        found += [(min(y[3], int(d[a])), max(y[3], int(d[a]))) for a, ok in zip(at, same) if ok]
-                i = j
-            found = list(set(found))
-            yield pa.RecordBatch.from_arrays([pa.array([p[z] for p in found], pa.int64()) for z in (0, 1)], schema=schema)
+            for first, count, h, at in W.shingles(batch.column("text"), k, inside):
+                for i in range(count):
+                    hub, tile, kind, doc, comp, n, far, bits = rows[first + i]
+                    mine = h[at[i] : at[i + 1]]
+                    if (hub, tile) != key:
+                        key, block, packed, parent = (hub, tile), [], None, {}
+                    if kind < 2:
+                        block.append((doc, comp, n, far, kind, bits, mine.copy()))
+                        packed = None
+                        continue
+                    if not block:
+                        continue
+                    if packed is None:
+                        packed = tuple(np.array(c) for c in list(zip(*block))[:5]) + (np.frombuffer(b"".join(x[5] for x in block), np.uint8).reshape(len(block), -1),)
+                    docs, comps, ns, fars, kinds, sketch = packed
+                    # two texts that ask meet twice; the larger id compares them
+                    fit = (comps != comp) & ((kinds == 0) | (docs < doc)) & (np.abs(fars - far) <= apart) & (np.minimum(ns, n) >= least * np.maximum(ns, n))
+                    near = np.flatnonzero(fit)
+                    if not len(near):
+                        continue
+                    same = equal[sketch[near] ^ np.frombuffer(bits, np.uint8)].mean(axis=1) / 2
+                    for x in near[same >= low].tolist():
+                        one, other = root(int(comps[x])), root(comp)
+                        if one == other:
+                            continue
+                        common = _shared(block[x][6], mine)
+                        if 100 * common >= percent * (len(block[x][6]) + len(mine) - common):
+                            parent[max(one, other)] = min(one, other)
+                            found.append((min(doc, int(docs[x])), max(doc, int(docs[x]))))
+            yield pa.RecordBatch.from_arrays([pa.array([q[z] for q in found], pa.int64()) for z in (0, 1)], schema=schema)
 
     return run
 
@@ -220,22 +243,25 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     links = first.filter(joined).select(F.col("hub").alias("a"), F.col("doc").alias("b"))
     label = cut(components(links))
 
-    at = first.select("hub", "doc", (1 - F.col("common") / (F.col("of_hub") + F.col("of_doc") - F.col("common"))).alias("far"))
-    seen = at.unionByName(at.select("hub", F.col("hub").alias("doc"), F.lit(0.0).alias("far")).distinct())
+    at = first.select("hub", "doc", (1 - F.col("common") / (F.col("of_hub") + F.col("of_doc") - F.col("common"))).alias("far"), F.col("of_doc").alias("n"))
+    seen = at.unionByName(at.select("hub", F.col("hub").alias("doc"), F.lit(0.0).alias("far"), F.lit(0).cast("long").alias("n")).distinct())
     seen = seen.join(label.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("comp", F.coalesce("component", "doc")).drop("component")
-    of_hub = seen.groupBy("hub").agg(F.max(F.when(F.col("doc") == F.col("hub"), F.col("comp"))).alias("home"), F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    mixed = of_hub.filter("lo <> hi").select("hub", "home", F.ceil(F.col("c") / BLOCK_MEMBERS).cast("int").alias("blocks"))
-    loose = seen.join(mixed, "hub").withColumn("kind", F.when(F.col("comp") == F.col("home"), 0).otherwise(1))
-    asked = loose.join(reps.select(F.col("doc_id").alias("doc"), "n", "bits"), "doc")
-    cells = ("hub", "salt", "kind", "doc", "comp", "n", "far", "bits")
-    members = asked.withColumns({"salt": F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("long"), "kind": F.lit(0)}).select(*cells)
-    askers = asked.filter("kind = 1").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("blocks") - 1).cast("long")))).select(*cells)
+    of_hub = seen.groupBy("hub").agg(F.max(F.when(F.col("doc") == F.col("hub"), F.col("comp"))).alias("home"), F.count("*").alias("c"), F.sum("n").alias("total"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    blocks = F.greatest(F.ceil(F.col("c") / BLOCK_MEMBERS), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("long")
+    mixed = of_hub.filter("lo <> hi").select("hub", "home", blocks.alias("blocks"), F.ceil(F.col("c") / BLOCK_ASKERS).cast("long").alias("turns"))
+    loose = seen.join(mixed, "hub").filter("doc <> hub").withColumn("kind", F.when(F.col("comp") == F.col("home"), 0).otherwise(1))
+    asked = loose.join(reps.select(F.col("doc_id").alias("doc"), "bits"), "doc").join(docs, F.col("doc") == docs.doc_id)
+    # a tile compares one block of members with one turn of texts that ask
+    block, turn = F.pmod(F.xxhash64("doc"), F.col("blocks")), F.pmod(F.xxhash64("doc", F.lit(1)), F.col("turns"))
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    member = F.transform(F.sequence(zero, F.col("turns") - one), lambda x: F.struct((x * F.col("blocks") + block).alias("tile"), F.col("kind").alias("kind")))
+    asks = F.transform(F.sequence(zero, F.col("blocks") - one), lambda x: F.struct((turn * F.col("blocks") + x).alias("tile"), F.lit(2).alias("kind")))
+    dealt = asked.withColumn("at", F.explode(F.when(F.col("kind") == 0, member).otherwise(F.concat(member, asks))))
+    rows = dealt.select("hub", F.col("at.tile").alias("tile"), F.col("at.kind").alias("kind"), "doc", "comp", "n", "far", "bits", "text")
     j = percent / 100 + (1 - percent / 100) / 16  # coordinates are held as four bits
     low = j - SLACK * math.sqrt(j * (1 - j) / t)
-    rows = members.unionByName(askers).repartition("hub", "salt").sortWithinPartitions("hub", "salt", "kind")
-    more = rows.mapInArrow(_near_blocks(low, percent), "hub long, doc long").distinct()
-    more = cut(more.join(pairs, ["hub", "doc"], "left_anti"))
-    second = verified(more, docs, k).filter(joined).select(F.col("hub").alias("a"), F.col("doc").alias("b"))
+    rows = rows.repartition("hub", "tile").sortWithinPartitions("hub", "tile", "kind")
+    second = rows.mapInArrow(_near_blocks(k, low, percent), "a long, b long")
     links = cut(links.unionByName(second).distinct())
     label = components(links)
     ends = links.select(F.col("a").alias("rep")).unionByName(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("n_links"))
