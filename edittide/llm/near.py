@@ -137,7 +137,7 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
 
 
 def _near_blocks(k: int, low: float, percent: int):
-    """Rows sorted by (hub, tile, kind): a block of members (kind 0: in the hub's component, 1: not), then texts that ask
+    """Rows sorted by (hub, tile, kind, doc): a block of members (kind 0: in the hub's component, 1: not), then texts that ask
     it (kind 2).
 
     Sketches that agree in `low` of the coordinates at least, the distances to the hub and the sizes choose the pairs of
@@ -260,7 +260,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     rows = dealt.select("hub", F.col("at.tile").alias("tile"), F.col("at.kind").alias("kind"), "doc", "comp", "n", "far", "bits", "text")
     j = percent / 100 + (1 - percent / 100) / 16  # coordinates are held as four bits
     low = j - SLACK * math.sqrt(j * (1 - j) / t)
-    rows = rows.repartition("hub", "tile").sortWithinPartitions("hub", "tile", "kind")
+    rows = rows.repartition("hub", "tile").sortWithinPartitions("hub", "tile", "kind", "doc")
     second = rows.mapInArrow(_near_blocks(k, low, percent), "a long, b long")
     links = cut(links.unionByName(second).distinct())
     label = components(links)
