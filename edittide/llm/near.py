@@ -34,6 +34,8 @@ ROWS, MISS = 5, 1e-6
 WIDER = 6
 #: Members and shingles, on average, that one block of a hub holds, and the texts that ask it in one tile.
 BLOCK_MEMBERS, BLOCK_SHINGLES, BLOCK_ASKERS = 512, 4_000_000, 4096
+#: Rows of two numbers that may be broadcast, by their count.
+SMALL_TABLE = 500_000
 #: Standard deviations of sketch agreement below the threshold that are still verified.
 SLACK = 4.75
 
@@ -125,10 +127,12 @@ def _compared(k: int):
 def verified(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """(hub, doc, common, of_hub, of_doc) of each distinct pair (hub, doc), from the full sets.
 
-    A hub's pairs are dealt in blocks, each of which streams past the hub's set.
+    Pairs of a hub of over BLOCK_MEMBERS are dealt in blocks, each of which streams past the hub's set.
     """
-    sizes = pairs.groupBy("hub").agg(F.count("*").alias("c"))
-    salted = pairs.join(sizes, "hub").select("hub", "doc", (F.pmod(F.xxhash64("doc"), F.ceil(F.col("c") / BLOCK_MEMBERS))).cast("long").alias("salt"))
+    large = cut(pairs.groupBy("hub").agg(F.count("*").alias("c")).filter(F.col("c") > BLOCK_MEMBERS))
+    if large.count() <= SMALL_TABLE:  # then the pairs need not meet by hub, which may be hot
+        large = F.broadcast(large)
+    salted = pairs.join(large, "hub", "left").select("hub", "doc", F.coalesce(F.pmod(F.xxhash64("doc"), F.ceil(F.col("c") / BLOCK_MEMBERS)), F.lit(0)).cast("long").alias("salt"))
     members = salted.join(docs, salted.doc == docs.doc_id).select("hub", "salt", F.lit(1).alias("kind"), "doc", "text")
     heads = salted.select("hub", "salt").distinct()
     hubs = heads.join(docs, heads.hub == docs.doc_id).select("hub", "salt", F.lit(0).alias("kind"), F.col("hub").alias("doc"), "text")
