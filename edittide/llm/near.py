@@ -228,7 +228,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     Two rows are linked if 100 * intersection >= percent * union of their sets of k-word shingles (words:
     runs of other than ASCII white space, A-Z lower-cased). A text of fewer words is one shingle; a null
     or wordless text has an empty set and links with nothing. class_id: the smallest doc_id with the same
-    set; n_links: verified links of the class to other classes found on the way. Rows without a doc_id come back with a
+    set; n_links: links of the class to other classes verified on
+    the way, not all there are, since a tile keeps those that join components. Rows without a doc_id come back with a
     null component and kept = false. Rows that repeat a doc_id count as one document.
     """
     bands = bands_for(percent / 100)
