@@ -34,7 +34,7 @@ ROWS, MISS = 5, 1e-6
 WIDER = 6
 #: Members and shingles, on average, that one block of a hub holds, and the texts that ask it in one tile.
 BLOCK_MEMBERS, BLOCK_SHINGLES, BLOCK_ASKERS = 512, 4_000_000, 4096
-#: Rows of two numbers that may be broadcast, by their count.
+#: Rows of four numbers at most that may be broadcast, by their count.
 SMALL_TABLE = 500_000
 #: Standard deviations of sketch agreement below the threshold that are still verified.
 SLACK = 4.75
@@ -253,7 +253,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     seen = seen.join(label.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("comp", F.coalesce("component", "doc")).drop("component")
     of_hub = seen.groupBy("hub").agg(F.max(F.when(F.col("doc") == F.col("hub"), F.col("comp"))).alias("home"), F.count("*").alias("c"), F.sum("n").alias("total"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     blocks = F.greatest(F.ceil(F.col("c") / BLOCK_MEMBERS), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("long")
-    mixed = of_hub.filter("lo <> hi").select("hub", "home", blocks.alias("blocks"), F.ceil(F.col("c") / BLOCK_ASKERS).cast("long").alias("turns"))
+    mixed = cut(of_hub.filter("lo <> hi").select("hub", "home", blocks.alias("blocks"), F.ceil(F.col("c") / BLOCK_ASKERS).cast("long").alias("turns")))
+    if mixed.count() <= SMALL_TABLE:  # as above; beyond that, the join is on its own, so that Spark can split a hot hub
+        mixed = F.broadcast(mixed)
     loose = seen.join(mixed, "hub").filter("doc <> hub").withColumn("kind", F.when(F.col("comp") == F.col("home"), 0).otherwise(1))
     asked = loose.join(reps.select(F.col("doc_id").alias("doc"), "bits"), "doc").join(docs, F.col("doc") == docs.doc_id)
     # a tile compares one block of members with one turn of texts that ask
