@@ -4,12 +4,15 @@ Vectors get one more coordinate, which makes all of them equally long, so the la
 smallest distance. Centroids are fitted on a bounded sample and split until the sample's lists are balanced; a
 graph of near centroids is held in memory and searched from a few entries. Each distinct vector goes to the list of its
 nearest centroid and, near a boundary, to those whose distance is within a ratio of it. A query reads the lists
-within a wider ratio. Equal vectors are searched once, and give their smallest ids.
+within a wider ratio. What it finds there is a floor for its results: a sweep over all lists scores every vector of each list whose
+bounding cap can hold a score of the floor or more, so results are exact, whatever the lists that were read first. A query that found too few has
+no floor and skips no list until the sweep gives it one. Equal vectors are searched once, and give their smallest ids.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +27,8 @@ SAMPLE, LIST, LISTS, BLOCK = 20_000, 64, 2_048, 4_096
 NEAR, COPIES, WIDE, PROBES = 1.06, 4, 1.35, 48
 #: Near centroids of each in the graph; entries; centroids kept in a search.
 DEGREE, ENTRIES, KEPT = 24, 32, 64
+#: Of the sweep: components of the queries that are sent at once (more take more sweeps), vectors scored at once, pairs held by a task.
+SENT, PIECE, HELD = 4_000_000, 512, 1_000_000
 
 
 def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -91,7 +96,7 @@ class Graph:
 
 
 def _lists(graph, longest: float, query: bool):
-    schema = pa.schema([("key", pa.int64()), ("list", pa.int64()), ("v", pa.list_(pa.float32()))])
+    schema = pa.schema([("key", pa.int64()), ("list", pa.int64()), ("v", pa.list_(pa.float32())), ("vec_id", pa.int64()), ("own", pa.bool_())])
     ratio, most = (WIDE, PROBES) if query else (NEAR, COPIES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,7 +110,71 @@ def _lists(graph, longest: float, query: bool):
                 keep = (d <= ratio * d[:, :1] + 1e-12) & np.isfinite(d)
                 keep[:, most:] = False
                 row, col = np.nonzero(keep)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(ids[row, col]), part.column(1).take(pa.array(row)).cast(pa.list_(pa.float32()))], schema=schema)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(ids[row, col]), part.column(1).take(pa.array(row)).cast(pa.list_(pa.float32())), part.column(2).take(pa.array(row)), pa.array(col == 0)], schema=schema)
+
+    return run
+
+
+def _swept(sent, k: int, longest: float):
+    """Rows (list, key, vec_id, v), sorted by list: pairs (query, key, vec_id, score) that can be among a query's k best."""
+    schema = pa.schema([("query", pa.int64()), ("key", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queries, q, floor = sent.value
+        q, floor = q.astype(np.float64), floor.copy()
+        size = np.sqrt((q * q).sum(1))
+        slack = 1e-9 * longest * size
+        held: list[tuple[np.ndarray, ...]] = []
+        pairs = 0
+
+        def settled() -> tuple[np.ndarray, ...]:
+            who, key, vec, score = (np.concatenate(c) for c in zip(*held))
+            order = np.lexsort((vec, -score, who))
+            who = who[order]
+            rank = np.arange(len(who)) - np.searchsorted(who, who)
+            last = order[rank == k - 1]
+            last_of = who[rank == k - 1]
+            floor[last_of] = np.maximum(floor[last_of], score[last])
+            order, who = order[rank < k], who[rank < k]
+            return who, key[order], vec[order], score[order]
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            lists, keys, vecs = (b.column(i).to_numpy() for i in range(3))
+            x = np.stack(b.column(3).to_numpy(zero_copy_only=False)).astype(np.float64)
+            ends = np.append(np.flatnonzero(lists[1:] != lists[:-1]) + 1, len(lists))
+            start = 0
+            for end in ends:
+                for i in range(start, end, PIECE):
+                    v = x[i : min(i + PIECE, end)]
+                    # Lifted vectors are all `longest` long, so a piece lies in a cap around its mean, and a query's best is on its near edge.
+                    lifted = np.column_stack([v, np.sqrt(np.maximum(longest**2 - (v * v).sum(1), 0))])
+                    mid = lifted.mean(0)
+                    norm = np.sqrt(mid @ mid)
+                    best = size * longest
+                    if norm > 1e-9 * longest:
+                        mid /= norm
+                        wide = np.arccos(np.clip((lifted @ mid).min() / longest, -1, 1))
+                        best = best * np.cos(np.maximum(np.arccos(np.clip(q @ mid[:-1] / size, -1, 1)) - wide - 1e-6, 0))
+                    ask = np.flatnonzero(best >= floor - slack)
+                    for j in range(0, len(ask), 1024):
+                        part = ask[j : j + 1024]
+                        row, col = np.nonzero(q[part] @ v.T >= (floor - slack)[part, None])
+                        if len(row):
+                            held.append((part[row], keys[i + col], vecs[i + col], (v[col] * q[part[row]]).sum(1)))
+                            pairs += len(row)
+                        if pairs > HELD:
+                            held = [settled()]
+                            pairs = len(held[0][0])
+                            # What has to be held for so many queries can be more than HELD.
+                            if pairs > HELD // 2:
+                                yield pa.RecordBatch.from_arrays([pa.array(queries[held[0][0]]), *(pa.array(c) for c in held[0][1:])], schema=schema)
+                                held, pairs = [], 0
+                start = end
+        if held:
+            who, *rest = settled()
+            yield pa.RecordBatch.from_arrays([pa.array(queries[who]), *(pa.array(c) for c in rest)], schema=schema)
 
     return run
 
@@ -178,17 +247,34 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     x = np.column_stack([x, np.sqrt(np.maximum(longest**2 - (x * x).sum(1), 0))])
     graph = spark.sparkContext.broadcast(Graph(centroids(x, max(1, min(LISTS, n // LIST, len(x) // 8 or 1)))))
 
-    kind = "key long, list long, v array<float>"
-    posted = cut(distinct.select("key", "v").mapInArrow(_lists(graph, longest, False), kind))
-    probes = asked.groupBy("key").agg(F.first("v").alias("v")).mapInArrow(_lists(graph, longest, True), kind)
+    kind = "key long, list long, v array<float>, vec_id long, own boolean"
+    posted = cut(distinct.select("key", "v", "vec_id").mapInArrow(_lists(graph, longest, False), kind))
+    each_asked = asked.groupBy("key").agg(F.first("v").alias("v"))
+    probes = each_asked.withColumn("vec_id", F.lit(0).cast("long")).mapInArrow(_lists(graph, longest, True), kind)
     blocks = posted.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
     cells = ("list", "salt", "kind", "key", "v")
-    members = posted.join(blocks, "list").withColumns({"salt": F.pmod("key", "blocks"), "kind": F.lit(0)}).select(*cells)
+    dealt = posted.join(blocks, "list").withColumn("salt", F.pmod("key", "blocks"))
+    members = dealt.withColumn("kind", F.lit(0)).select(*cells)
     ask = probes.join(blocks, "list").withColumns({"salt": F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)), "kind": F.lit(1)}).select(*cells)
     rows = members.unionByName(ask).repartition("list", "salt").sortWithinPartitions("list", "salt", "kind")
     found = rows.mapInArrow(_scored(k + 1), "query long, key long, score double").distinct()
+    # The floor of a query that found k + 1 vectors is the last one's score; the others have none.
+    top = found.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score")))).filter(F.col("r") <= k + 1)
+    floors = top.groupBy(F.col("query").alias("key")).agg(F.when(F.count("*") > k, F.min("score")).alias("floor"))
+    waiting = cut(each_asked.join(floors, "key", "left").select("key", "v", F.coalesce("floor", F.lit(float("-inf"))).alias("floor")))
+    sweeps = max(1, -(-waiting.count() * sizes["d"] // SENT))
+    whole = dealt.filter("own").repartition("list", "salt").sortWithinPartitions("list").select("list", "key", "vec_id", "v")
+    whole = cut(whole) if sweeps > 1 else whole
+    swept = []
+    for i in range(sweeps):
+        some = waiting.filter(F.pmod(F.xxhash64("key"), F.lit(sweeps)) == i).toArrow()
+        q = np.array(some["v"].to_pylist(), np.float32).reshape(some.num_rows, sizes["d"])
+        sent = spark.sparkContext.broadcast((some["key"].to_numpy(), q, some["floor"].to_numpy()))
+        swept.append(cut(whole.mapInArrow(_swept(sent, k + 1, longest), "query long, key long, vec_id long, score double")))
+        sent.destroy()
     best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
-    first = found.join(distinct.select("key", "vec_id"), "key").withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k + 1).select("query", "key", "score")
+    pairs = reduce(DataFrame.unionByName, swept)
+    first = pairs.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k + 1).select("query", "key", "score")
     ids = first.join(few.select("key", F.col("vec_id")), "key").withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k + 1).select("query", "vec_id", "score")
     each = asked.select(F.col("vec_id").alias("query_id"), F.col("key").alias("query")).distinct().join(ids, "query").filter("vec_id <> query_id")
     last = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
