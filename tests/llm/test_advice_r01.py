@@ -31,3 +31,10 @@ def test_nearest_with_more_lists_than_probes(spark):
     rng = np.random.default_rng(5)
     x = _unit(rng.normal(size=(12_000, 32)))
     assert _check_nearest(spark, x, 20, 60) == (0, 0)
+
+
+def test_nearest_of_small_tight_groups(spark):
+    rng = np.random.default_rng(6)
+    centres = np.repeat(rng.normal(size=(300, 32)), 15, axis=0)
+    x = _unit(centres + 0.02 * rng.normal(size=centres.shape))
+    assert _check_nearest(spark, x, 20, 15) == (0, 0)
