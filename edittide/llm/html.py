@@ -2,16 +2,17 @@
 
 A page is a sequence of tokens: its elements, named by their path, and its text blocks, named by path and text. Tokens of a
 host that occur the same number of times on the same pages (equal occurrence vectors) form an equivalence class. A vector is
-held as counts and a sum of hashes of (page, count), so classes come from one aggregation by (host, token). A class is valid if it spans
-enough pages, holds several tokens, and nests: its elements lie in elements of valid classes, from the root down. Valid classes are the
-host's template. Text outside it fills the template's slots. The slot of the article is the one that its
-markup names; where none does, it is the template's container that holds most of the host's varying text.
+held as counts and a combined hash of (page, count), so classes come from one aggregation by (host, token). Pages of a host with the
+same content are one page. A class is valid if it spans enough pages, and holds text in one of its own elements. Valid classes are the
+host's template. Text outside it fills the template's slots. The slots of the article are those that its
+markup names; where none does, they are all that the markup does not name as beside it.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 from edittide.llm import hosts
 from edittide.llm.common import cut
 
-#: Pages that a class must span and tokens that it must hold; template rows that are sent to all workers at most.
-PAGES, TOKENS, SENT = 3, 2, 500_000
+#: Pages that a class must span; template rows that are sent to all workers at most.
+PAGES, SENT = 3, 500_000
 
 #: Fixed values of HTML: elements that end a block, that hold no content of their own, that are empty, and that an opening tag closes.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead title tr ul".split())
@@ -137,67 +138,57 @@ def _hash(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-_TOKENS = "host string, kind int, token long, path string, pages long, n long, sig long, chars long"
-_TOKENS_ARROW = pa.schema([("host", pa.string()), ("kind", pa.int32()), ("token", pa.int64()), ("path", pa.string()), ("pages", pa.int64()), ("n", pa.int64()), ("sig", pa.int64()), ("chars", pa.int64())])
-
-
-def _wrap(x: int) -> int:
-    return (x + (1 << 63)) % (1 << 64) - (1 << 63)
+_ROW = pa.struct([("kind", pa.int32()), ("token", pa.int64()), ("n", pa.int64()), ("above", pa.list_(pa.int64()))])
+_TOKENS = "host string, content long, tokens array<struct<kind int, token long, n long, above array<long>>>"
+_TOKENS_ARROW = pa.schema([("host", pa.string()), ("content", pa.int64()), ("tokens", pa.list_(_ROW))])
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per host and token of a batch: pages, occurrences, sum of hashes of (page, count), characters. kind 0: element, 1: text block."""
+    """Per host and distinct content of a batch: the tokens with their counts. kind 0: element, 1: text block, with the elements above it.
+
+    content: hash of the text outside parts that are named as beside; pages that differ in nothing else are copies and count once.
+    """
     for b in batches:
-        seen: dict[tuple[str, int, str, str], list[int]] = {}
-        for host, page, html in zip(*(c.to_pylist() for c in b.columns)):
+        seen: set[tuple[str, int]] = set()
+        known: dict[str, list[int]] = {}
+        rows = []
+
+        def above(path: str) -> list[int]:
+            if path not in known:
+                known[path] = [_hash(f"{path[:i]}\0") for i in range(1, len(path) + 1) if i == len(path) or path[i] == "/"]
+            return known[path]
+
+        for host, html in zip(*(c.to_pylist() for c in b.columns)):
             paths, blocks = parse(html or "")
-            counts: dict[tuple[int, str, str], list[int]] = {}
-            for p in paths:
-                counts.setdefault((0, p, ""), [0, 0])[0] += 1
-            for p, role, text in blocks:
-                if role != "main":
-                    c = counts.setdefault((1, p, text), [0, 0])
-                    c[0] += 1
-                    c[1] += len(text)
-            for (kind, p, text), (n, chars) in counts.items():
-                row = seen.setdefault((host, kind, p, text), [0, 0, 0, 0])
-                row[0] += 1
-                row[1] += n
-                row[2] += _hash(f"{page} {n}")
-                row[3] += chars
-        rows = [(h, kind, _hash(f"{p}\0{text}"), p, r[0], r[1], _wrap(r[2]), r[3]) for (h, kind, p, text), r in seen.items()]
+            content = _hash("\n".join(t for _, role, t in blocks if role != "beside"))
+            if (host, content) in seen:
+                continue
+            seen.add((host, content))
+            counts = Counter((0, p, "") for p in paths)
+            counts.update((1, p, t) for p, _, t in blocks)
+            rows.append((host, content, [(kind, _hash(f"{p}\0{t}") if kind else above(p)[-1], n, above(p) if kind else None) for (kind, p, t), n in counts.items()]))
         yield pa.RecordBatch.from_arrays([pa.array(list(c), t.type) for c, t in zip(zip(*rows), _TOKENS_ARROW)] if rows else [pa.array([], t.type) for t in _TOKENS_ARROW], schema=_TOKENS_ARROW)
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """Per host of `pages` (host, page_id, html): constant (tokens of text blocks of the template) and container (path of the
-    element that holds most varying text outside named parts; null if none)."""
-    found = pages.select("host", "page_id", "html").mapInArrow(_tokens, _TOKENS)
-    total = cut(found.groupBy("host", "kind", "token").agg(F.min("path").alias("path"), F.sum("pages").alias("pages"), F.sum("n").alias("n"), F.sum(F.col("sig").cast("decimal(38,0)")).alias("sig"), F.sum("chars").alias("chars")))
-    vector = ("host", "pages", "n", "sig")
-    wide = total.filter(F.col("pages") >= PAGES)
-    classes = wide.groupBy(*vector).agg(F.count("*").alias("size"), F.count_if(F.col("kind") == 0).alias("elements")).filter((F.col("size") >= TOKENS) & (F.col("elements") >= 1))
-    valid = wide.join(classes.select(*vector), list(vector))
-    # Nesting: an element's path is valid only if the path that it lies in is; one level is settled per element by its own class
-    # and its parent's, since a parent of a valid path occurs on every page that the path does.
-    parent = F.regexp_replace("path", r"/[^/]*$", "")
-    paths = valid.filter("kind = 0").select("host", F.col("path").alias("parent")).distinct()
-    kept = valid.withColumn("parent", F.when(F.col("kind") == 0, parent).otherwise(F.col("path"))).join(paths, ["host", "parent"], "left_semi")
-    constant = kept.filter("kind = 1").groupBy("host").agg(F.collect_set("token").alias("constant"))
-    varying = total.filter("kind = 1").join(kept.select("host", "kind", "token"), ["host", "kind", "token"], "left_anti")
-    slot = varying.groupBy("host", F.regexp_replace("path", r"(/(p|h[1-6]|ul|ol|li|blockquote|pre|b|i|em|strong|span|a|table|tbody|tr|td)(\.[^/]*)?)*$", "").alias("container")).agg(F.sum("chars").alias("chars"))
-    main = slot.groupBy("host").agg(F.max_by("container", F.struct("chars", "container")).alias("container"))
-    return constant.join(main, "host", "full_outer")
-
-
-def article(html: str, constant: set[int], container: str | None) -> str:
-    """The blocks of the article's slot, one a line."""
+    """Per host of `pages` (host, page_id, html) that has any: constant (tokens of text blocks of the template)."""
+    distinct = pages.select("host", "html").mapInArrow(_tokens, _TOKENS).dropDuplicates(["host", "content"])
+    found = distinct.select("host", "content", F.inline("tokens"))
+    vector = ("pages", "n", "sig")
+    counted = F.count("*").alias("pages"), F.sum("n").alias("n"), F.bit_xor(F.xxhash64("content", "n")).alias("sig"), F.first("above").alias("above")
+    wide = cut(found.groupBy("host", "kind", "token").agg(*counted).filter(F.col("pages") >= PAGES))
+    # Nesting: a text of the template lies in an element of its own class, which has at least these two tokens then.
+    elements = wide.filter("kind = 0").select("host", F.col("token").alias("element"), *vector)
+    texts = wide.filter("kind = 1").select("host", "token", *vector, F.explode("above").alias("element"))
+    kept = texts.join(elements, ["host", "element", *vector], "left_semi")
+    return kept.groupBy("host").agg(F.collect_set("token").alias("constant"))
+
+
+def article(html: str, constant: set[int]) -> str:
+    """The blocks of the article's slots outside the template, one a line."""
     _, blocks = parse(html)
-    if any(role == "main" for _, role, _ in blocks):
-        return "\n".join(t for _, role, t in blocks if role == "main")
-    free = [(p, t) for p, role, t in blocks if not role and _hash(f"{p}\0{t}") not in constant]
-    inside = [t for p, t in free if container is not None and (p == container or p.startswith(container + "/"))]
-    return "\n".join(inside or [t for _, t in free])
+    slot = "main" if any(role == "main" for _, role, _ in blocks) else ""
+    return "\n".join(t for p, role, t in blocks if role == slot and _hash(f"{p}\0{t}") not in constant)
 
 
 def _extracted(sent):
@@ -208,8 +199,8 @@ def _extracted(sent):
             rows = zip(*cols)
             texts = []
             for host, _, _, html, *more in rows:
-                constant, container = known.get(host, (frozenset(), None)) if known is not None else (set(more[0] or ()), more[1])
-                texts.append(article(html or "", constant, container))
+                constant = known.get(host, frozenset()) if known is not None else set(more[0] or ())
+                texts.append(article(html or "", constant))
             yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return run
@@ -225,8 +216,8 @@ def extracted(pages: DataFrame) -> DataFrame:
     out = "page_id long, url string, text string, n_chars long"
     rows = pages.select(hosts.host(F.col("url")).alias("host"), F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     found = cut(templates(rows))
-    size = found.agg(F.coalesce(F.sum(F.coalesce(F.size("constant"), F.lit(0)) + 1), F.lit(0))).first()[0]
+    size = found.agg(F.coalesce(F.sum(F.size("constant") + 1), F.lit(0))).first()[0]
     if size <= SENT:
-        sent = pages.sparkSession.sparkContext.broadcast({r["host"]: (frozenset(r["constant"] or ()), r["container"]) for r in found.toLocalIterator()})
+        sent = pages.sparkSession.sparkContext.broadcast({r["host"]: frozenset(r["constant"]) for r in found.toLocalIterator()})
         return rows.mapInArrow(_extracted(sent), out)
-    return rows.join(found, "host", "left").select("host", "page_id", "url", "html", "constant", "container").mapInArrow(_extracted(None), out)
+    return rows.join(found, "host", "left").select("host", "page_id", "url", "html", "constant").mapInArrow(_extracted(None), out)

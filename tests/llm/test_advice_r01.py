@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from edittide.llm import ann
+from edittide.llm import ann, html
 
 
 def _unit(x):
@@ -38,3 +38,13 @@ def test_nearest_of_small_tight_groups(spark):
     centres = np.repeat(rng.normal(size=(300, 32)), 15, axis=0)
     x = _unit(centres + 0.02 * rng.normal(size=centres.shape))
     assert _check_nearest(spark, x, 20, 15) == (0, 0)
+
+
+def _texts(spark, bodies):
+    rows = [(i, "http://a.org/", f"<html><body><nav>Home {i}</nav>{b}</body></html>") for i, b in enumerate(bodies)]
+    return [r["text"] for r in html.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).orderBy("page_id").collect()]
+
+
+def test_template_inside_named_article(spark):
+    bodies = [f"<article><div class=teaser>Read all we have</div><h1>Head {i}</h1><p>Body {i}</p><p>Ends here for all</p></article>" for i in range(4)]
+    assert _texts(spark, bodies) == [f"Head {i}\nBody {i}" for i in range(4)]
