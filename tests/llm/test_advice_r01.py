@@ -48,3 +48,16 @@ def _texts(spark, bodies):
 def test_template_inside_named_article(spark):
     bodies = [f"<article><div class=teaser>Read all we have</div><h1>Head {i}</h1><p>Body {i}</p><p>Ends here for all</p></article>" for i in range(4)]
     assert _texts(spark, bodies) == [f"Head {i}\nBody {i}" for i in range(4)]
+
+
+def test_every_varying_slot(spark):
+    split = [f"<div class=lead><p>Lead {i}</p></div><div class=text><p>Long body {i} with many more words</p></div>" for i in range(4)]
+    other = [f"<section class=b><p>Other layout {i}</p></section>" for i in range(4)]
+    want = [f"Lead {i}\nLong body {i} with many more words" for i in range(4)] + [f"Other layout {i}" for i in range(4)]
+    assert _texts(spark, split + other) == want
+
+
+def test_copies_are_no_template(spark):
+    copy = "<div class=copied><h1>Head</h1><p>Only body</p></div>"
+    assert _texts(spark, [copy] * 4) == ["Head\nOnly body"] * 4
+    assert _texts(spark, [copy] * 4 + [f"<div class=own><p>Mine {i}</p></div>" for i in range(3)])[:4] == ["Head\nOnly body"] * 4
