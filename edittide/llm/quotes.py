@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from edittide.llm.common import cut
+
 _MARKS = r"^[ \t]*((?:>[ \t]?)+)"
 
 
@@ -38,12 +40,32 @@ def linked(messages: DataFrame) -> DataFrame:
     return found.filter("not own and source is not null").select("conv_id", "turn", "level", "key", "source")
 
 
+def _tops(placed: DataFrame) -> DataFrame | None:
+    """Per run of turns (each answers the one before) that continues an earlier run: conv_id, run, up (the run that opens the thread); None if none does.
+
+    A run continues the one whose last message it answers, if it is the first to. Pointers are doubled, so steps grow with the logarithm of the
+    runs of a thread.
+    """
+    heads = placed.filter("reply_to <> before").select("conv_id", "run", "turn", F.col("reply_to").alias("parent"))
+    first = heads.groupBy("conv_id", "parent").agg(F.min_by("run", "turn").alias("run"))
+    ups = cut(first.join(placed.filter("open").select("conv_id", F.col("turn").alias("parent"), F.col("run").alias("up")), ["conv_id", "parent"]).select("conv_id", "run", "up"))
+    if ups.isEmpty():
+        return None
+    while True:
+        further = ups.select("conv_id", F.col("run").alias("up"), F.col("up").alias("further"))
+        step = cut(ups.join(further, ["conv_id", "up"], "left"))
+        ups = step.select("conv_id", "run", F.coalesce("further", "up").alias("up"))
+        if step.filter("further is not null").isEmpty():
+            return ups
+
+
 def threads(messages: DataFrame) -> DataFrame:
     """Per row of `messages` (conv_id, turn, role, text): conv_id, turn, role, text, reply_to, thread, position, n_quoted, n_linked.
 
     text: without quoted lines (null stays null). reply_to: the turn that most lines of the outermost linked level come from, the latest of
-    equals; without links the turn before, null for the first. A message that does not answer the turn before it opens a thread; position
-    counts in a thread, and thread and position order a conversation by replies. Turns that repeat are one message for links; rows
+    equals; without links the turn before, null for the first. The first reply to a message continues its thread, each further one opens a thread
+    (threads are numbered by the turns that open them); position counts in a thread. By thread and position every reply comes after what it
+    answers, and a first reply directly after it. Turns that repeat are one message for links; rows
     without conv_id or turn link with nothing, and have no reply_to, thread 0 and position 0.
     """
     known = messages.filter("conv_id is not null and turn is not null")
@@ -55,8 +77,12 @@ def threads(messages: DataFrame) -> DataFrame:
     w = Window.partitionBy("conv_id").orderBy("turn")
     placed = turns.withColumn("before", F.lag("turn").over(w)).join(best, ["conv_id", "turn"], "left").withColumn("reply_to", F.coalesce("parent", "before"))
     breaks = F.when(F.col("before").isNull() | (F.col("reply_to") != F.col("before")), 1).otherwise(0)
-    placed = placed.withColumn("thread", F.sum(breaks).over(w))
-    placed = placed.withColumn("position", F.row_number().over(Window.partitionBy("conv_id", "thread").orderBy("turn")))
+    next_answers = F.coalesce(F.lead("reply_to").over(w) == F.col("turn"), F.lit(False))
+    placed = cut(placed.withColumns({"run": F.sum(breaks).over(w), "open": ~next_answers}))
+    tops = _tops(placed)
+    placed = placed.withColumn("top", F.col("run")) if tops is None else placed.join(tops, ["conv_id", "run"], "left").withColumn("top", F.coalesce("up", "run"))
+    placed = placed.withColumn("thread", F.dense_rank().over(Window.partitionBy("conv_id").orderBy("top")))
+    placed = placed.withColumn("position", F.row_number().over(Window.partitionBy("conv_id", "top").orderBy("turn"))).select("conv_id", "turn", "reply_to", "n_linked", "thread", "position")
     split = F.split("text", r"\r?\n")
     quoted = F.filter(split, lambda x: F.rlike(x, F.lit(_MARKS)))
     own = F.trim(F.array_join(F.filter(split, lambda x: ~F.rlike(x, F.lit(_MARKS))), "\n"))

@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from edittide.llm import ann, html
+from edittide.llm import ann, html, quotes
 
 
 def _unit(x):
@@ -61,3 +61,22 @@ def test_copies_are_no_template(spark):
     copy = "<div class=copied><h1>Head</h1><p>Only body</p></div>"
     assert _texts(spark, [copy] * 4) == ["Head\nOnly body"] * 4
     assert _texts(spark, [copy] * 4 + [f"<div class=own><p>Mine {i}</p></div>" for i in range(3)])[:4] == ["Head\nOnly body"] * 4
+
+
+def _ordered(spark, texts):
+    talk = [(1, i, "user", t) for i, t in enumerate(texts)]
+    rows = quotes.threads(spark.createDataFrame(talk, "conv_id long, turn long, role string, text string")).collect()
+    return [(r["turn"], r["reply_to"], r["thread"], r["position"]) for r in sorted(rows, key=lambda r: (r["thread"], r["position"]))]
+
+
+def test_interleaved_replies(spark):
+    texts = ["zero", "one", "two", "> zero\nthree", "> one\nfour", "> three\nfive"]
+    assert _ordered(spark, texts) == [(0, None, 1, 1), (1, 0, 1, 2), (2, 1, 1, 3), (3, 0, 2, 1), (5, 3, 2, 2), (4, 1, 3, 1)]
+
+
+def test_two_long_interleaved_threads(spark):
+    n = 21
+    texts = ["root", "a1", "> root\na2"] + [f"> a{i - 2}\na{i}" for i in range(3, n)]
+    got = _ordered(spark, texts)
+    assert [g[0] for g in got] == [0, *range(1, n, 2), *range(2, n, 2)]
+    assert [g[2:] for g in got[:11]] == [(1, i + 1) for i in range(11)] and [g[2:] for g in got[11:]] == [(2, i + 1) for i in range(10)]
