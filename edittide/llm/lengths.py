@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import base64
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -17,24 +17,49 @@ from pyspark.sql import functions as F
 #: Parameter defaults: the ranks of a byte-level BPE, and its split pattern (a fixed value of that vocabulary).
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Lengths of a block of the suffix sums.
-BLOCK = 1024
+#: Lengths of a block of the suffix sums; white space in a row that the pattern is still let loose on.
+BLOCK, RUN = 1024, 4096
 
 
-def encoding(ranks: str = RANKS):
+def encoding(ranks: str | bytes = RANKS):
+    """The encoding of a file of ranks, or of its bytes."""
     import tiktoken
 
-    with open(ranks, "rb") as f:
-        table = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+    if isinstance(ranks, str):
+        with open(ranks, "rb") as f:
+            ranks = f.read()
+    table = {base64.b64decode(a): int(b) for a, b in (line.split() for line in ranks.splitlines() if line.strip())}
     return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=table, special_tokens={})
 
 
-def _counted(ranks: str):
+def counter(own) -> Callable[[str], int]:
+    """Number of tokens of a text in the encoding `own`.
+
+    The pattern's engine recurses along white space, so a run of more than RUN is cut out of the text first. The pattern takes such a
+    run as one piece, all of it at the end of the text, else all but its last character, which begins what follows; so the counts are
+    the same.
+    """
+    import regex
+
+    long = regex.compile(r"\p{White_Space}{%d,}+" % (RUN + 1))
+
+    def count(text: str) -> int:
+        n = at = 0
+        for m in long.finditer(text) if len(text) > RUN else ():
+            end = m.end() if m.end() == len(text) else m.end() - 1
+            n += len(own.encode_ordinary(text[at : m.start()])) + len(own._encode_single_piece(text[m.start() : end]))
+            at = end
+        return n + len(own.encode_ordinary(text[at:]))
+
+    return count
+
+
+def _counted(ranks):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, seen = encoding(ranks), Counter()
+        count, seen = counter(encoding(ranks.value)), Counter()
         for b in batches:
             for text in b.column(0):
-                seen[len(own.encode_ordinary(text.as_py() or ""))] += 1
+                seen[count(text.as_py() or "")] += 1
             if len(seen) >= 1 << 16:
                 yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], names=["n_tokens", "c"])
                 seen = Counter()
@@ -44,8 +69,13 @@ def _counted(ranks: str):
 
 
 def histogram(docs: DataFrame, ranks: str = RANKS) -> DataFrame:
-    """(n_tokens, n_docs) over all rows of `docs` (text); a null or empty text has 0 tokens."""
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_counted(ranks), "n_tokens long, c long").groupBy("n_tokens").agg(F.sum("c").alias("n_docs"))
+    """(n_tokens, n_docs) over all rows of `docs` (text); a null or empty text has 0 tokens.
+
+    The file of ranks is read by the driver and sent to the workers; a vocabulary is a few MB.
+    """
+    with open(ranks, "rb") as f:
+        sent = docs.sparkSession.sparkContext.broadcast(f.read())
+    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_counted(sent), "n_tokens long, c long").groupBy("n_tokens").agg(F.sum("c").alias("n_docs"))
 
 
 def suffix_sums(hist: DataFrame) -> DataFrame:

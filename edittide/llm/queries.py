@@ -83,11 +83,45 @@ def op3_token_counts(spark, sf_dir):
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 
 
-@query()
+_SUFFIXES = ", ".join(f"('{r.removeprefix('!').removeprefix('*.')}', {-1 if r[0] == '!' else 1 if r[0] == '*' else 0})" for r in hosts.SUFFIX_RULES)
+_FITS = " UNION ALL ".join(f"SELECT '{v}' AS verdict, '{h}' AS h, '{p}' AS p" for v, h, p in RULES)
+
+
+def _moments(level: str) -> str:
+    """One row (s): prior strength of a level of (n, good)."""
+    return f"""(SELECT CASE WHEN coalesce(t, 0) = 0 OR k < 2 THEN 10.0 WHEN spread > 0 THEN least(1000.0, greatest(1.0, m * (1 - m) / spread - 1)) ELSE 1000.0 END AS s FROM (
+  SELECT *, (gg - t * m * m - (k - 1) * m * (1 - m)) / greatest(t - nn / t, 1e-9) AS spread FROM (
+    SELECT CAST(sum(n) AS DOUBLE) AS t, sum(good) / sum(n) AS m, CAST(sum(n * n) AS DOUBLE) AS nn, sum(CAST(good * good AS DOUBLE) / n) AS gg, count(*) AS k FROM {level} WHERE n > 0)))"""
+
+
+@query(
+    f"""
+WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, {_LOW.format("regexp_extract(rest, '^[^/?#]*')")} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+marks AS (SELECT doc_id AS page_id, bool_and(quality = 1 AND toxic = 0) AS good FROM labels WHERE doc_id IS NOT NULL AND (quality = 1 AND toxic = 0) IS NOT NULL GROUP BY doc_id),
+seen AS (SELECT host, count(good) AS n, count(*) FILTER (good) AS good FROM (SELECT DISTINCT page_id, host FROM p) LEFT JOIN marks USING (page_id) GROUP BY host),
+bare AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '[.]$', '') AS name FROM seen),
+cells AS (SELECT *, CASE WHEN regexp_matches(name, '^[0-9]{{1,3}}([.][0-9]{{1,3}}){{3}}$') OR name LIKE '[%' THEN [name] ELSE string_split(name, '.') END AS l FROM bare),
+rules(r, more) AS (VALUES {_SUFFIXES}),
+met AS (SELECT host, max(CASE WHEN more = -1 THEN 1048576 + k - 1 WHEN more = 1 THEN CASE WHEN len(l) > k THEN k + 1 END ELSE k END) % 1048576 AS s
+  FROM (SELECT host, l, unnest(range(1, len(l) + 1)) AS k FROM cells) JOIN rules ON array_to_string(l[len(l) - k + 1:], '.') = r GROUP BY host),
+h AS (SELECT cells.host, n, good, array_to_string(l[greatest(len(l) - greatest(coalesce(s, 1), 1), 0) + 1:], '.') AS suffix, array_to_string(l[greatest(len(l) - greatest(coalesce(s, 1), 1) - 1, 0) + 1:], '.') AS domain FROM cells LEFT JOIN met USING (host)),
+d AS (SELECT domain, suffix, sum(n) AS n, sum(good) AS good FROM h GROUP BY ALL),
+x AS (SELECT suffix, sum(n) AS n, sum(good) AS good FROM d GROUP BY ALL),
+s1 AS {_moments("h")}, s2 AS {_moments("d")}, s3 AS {_moments("x")},
+base AS (SELECT CASE WHEN coalesce(sum(n), 0) > 0 THEN (sum(good) + 0.5) / (sum(n) + 1) ELSE 0.5 END AS b FROM x),
+top AS (SELECT suffix, (good + s * b) / (n + s) AS up FROM x, s3, base),
+mid AS (SELECT domain, suffix, (good + s * up) / (n + s) AS up FROM d JOIN top USING (suffix), s2),
+rated AS (SELECT host, mean, greatest(0.0, mean - 1.2816 * sqrt(mean * (1 - mean) / (n + s + 1))) AS bound FROM (SELECT host, n, s, (good + s * up) / (n + s) AS mean FROM h JOIN mid USING (domain, suffix), s1)),
+told AS (SELECT page_id, host, path, arg_max(h || p, length(h || p)) AS rule, arg_max(verdict, length(h || p)) AS v FROM (SELECT DISTINCT page_id, host, path FROM p) q, ({_FITS}) f WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY ALL)
+SELECT p.page_id, p.host, p.path, rule, coalesce(v, CASE WHEN bound >= 0.5 THEN 'allow' ELSE 'block' END) AS verdict, round(mean, 6) AS mean, round(bound, 6) AS bound
+FROM p JOIN rated USING (host) LEFT JOIN told ON told.page_id IS NOT DISTINCT FROM p.page_id AND told.host = p.host AND told.path = p.path"""
+)
 def op4_url_filter(spark, sf_dir):
     """Verdict for every page's url: rules first, else the host's reputation by labelled pages."""
     outcomes = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("good"))
-    return hosts.judged(table(spark, sf_dir, "pages").select("page_id", "url"), outcomes, RULES)
+    told = hosts.judged(table(spark, sf_dir, "pages").select("page_id", "url"), outcomes, RULES)
+    return told.withColumns({c: F.round(c, 6) for c in ("mean", "bound")})
 
 
 @query()

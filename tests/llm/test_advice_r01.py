@@ -71,7 +71,7 @@ def _ordered(spark, texts):
 
 def test_interleaved_replies(spark):
     texts = ["zero", "one", "two", "> zero\nthree", "> one\nfour", "> three\nfive"]
-    assert _ordered(spark, texts) == [(0, None, 1, 1), (1, 0, 1, 2), (2, 1, 1, 3), (3, 0, 2, 1), (5, 3, 2, 2), (4, 1, 3, 1)]
+    assert _ordered(spark, texts) == [(0, None, 1, 1), (1, 0, 1, 2), (2, 1, 1, 3), (4, 1, 2, 1), (3, 0, 3, 1), (5, 3, 3, 2)]
 
 
 def test_two_long_interleaved_threads(spark):

@@ -134,6 +134,24 @@ def test_token_counts(spark):
     assert lengths.suffix_sums(lengths.histogram(spark.createDataFrame([], "text string"))).count() == 0
 
 
+def test_long_white_space_counts(spark, monkeypatch):
+    own = lengths.encoding()
+    assert [lengths.counter(own)(t) for t in (" " * 5_000_000, "a" + " " * 5_000_000 + "b")] == [5_000_000, 5_000_001]
+    monkeypatch.setattr(lengths, "RUN", 3)
+    count, rng = lengths.counter(own), random.Random(1)
+    for _ in range(3000):
+        text = "".join(rng.choices([" ", "\n", "\t", "\u00a0", "\u3000", "a", "é", "1", "!", "\x1c", "\u200b"], k=rng.randint(0, 25)))
+        assert count(text) == len(own.encode_ordinary(text)), repr(text)
+
+
+def test_suffix_rules(spark):
+    names = {"a.b.co.uk": "b.co.uk", "co.uk": "co.uk", "x.github.io": "x.github.io", "10.0.0.1:80": "10.0.0.1", "[::1]": "[::1]", "foo.bar.ck": "foo.bar.ck", "a.www.ck": "www.ck", "u@h.com:80": "h.com", "": "", "a.b.": "a.b", "x." * 5000 + "org": "x.org"}
+    df = spark.createDataFrame([(n, 1, 1) for n in names], "host string, n long, good long")
+    assert {r["host"]: r["domain"] for r in hosts.placed(df).collect()} == names
+    own = spark.createDataFrame([("b.org",), ("org",)], "rule string")
+    assert {r["domain"] for r in hosts.placed(df.limit(0).unionByName(spark.createDataFrame([("z.a.b.org", 1, 1)], df.schema)), own).collect()} == {"a.b.org"}
+
+
 def test_urls(spark):
     urls = ["http://Example.ORG/es/1", "http://a.example.org/en/12?x", "https://x.org", "https://x.org/", "http://y.com/fr/", "http://y.com/de/1", "http://notcom/de/", None, "none", "a://b://c/d#e", "http://u@h.com:80/q?/"]
     pages = spark.createDataFrame(list(enumerate(urls)) + [(0, urls[0])], "page_id long, url string")
