@@ -65,12 +65,12 @@ def in_order(df: DataFrame, order: Sequence[Column], sums: dict[str, Column | st
     """
     part, own = free("_part", df.columns), [free(f"_s{i}", df.columns) for i in range(len(sums))]
     spread = cut(df.withColumns({o: F.expr(c) if isinstance(c, str) else c for o, c in zip(own, sums.values())}).repartitionByRange(*order).withColumn(part, F.spark_partition_id()))
-    found = sorted(spread.groupBy(part).agg(*[F.sum(o).alias(o) for o in own]).collect())
-    before, at = [], [0] * len(own)
-    for r in found:
+    summed = spread.groupBy(part).agg(*[F.sum(o).alias(o) for o in own])
+    kinds = {o: summed.schema[o].dataType.simpleString() for o in own}
+    before, at = [], [0.0 if kinds[o] == "double" else 0 for o in own]
+    for r in sorted(summed.collect()):
         before.append((r[part], *at))
         at = [a + (r[o] or 0) for a, o in zip(at, own)]
-    kinds = {f.name: f.dataType.simpleString() for f in spread.groupBy().agg(*[F.sum(o).alias(o) for o in own]).schema.fields}
     offsets = df.sparkSession.createDataFrame(before, f"{part} int, " + ", ".join(f"{o}_b {kinds[o]}" for o in own))
     w = Window.partitionBy(part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     inside = spread.withColumns({n: F.coalesce(F.sum(o).over(w), F.lit(0)) for n, o in zip(sums, own)})

@@ -8,23 +8,27 @@ Only stretches of a document whose neighbouring words all occur side by side in
 window of two words or more; numpy finds these stretches, and the automaton reads nothing else.
 
 The automaton is built on the driver and sent to the workers, so its size is bounded: items beyond
-SHARD_WORDS words go to further automata, each with a pass of its own over the documents.
+SHARD_WORDS words go to further automata, each with a pass of its own over the documents. An item that is longer than that
+is cut into parts that overlap by a window less a word, so each of its windows lies in one part.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from edittide.llm import words as W
-from edittide.llm.common import cut
+from edittide.llm.common import cut, free
 
-#: Words of the items of one automaton (some 100 MB on the driver).
-SHARD_WORDS = 500_000
+#: Words of the items of one automaton (some 150 MB on the driver, and in each Python worker).
+SHARD_WORDS = 200_000
 
 
 class Automaton:
@@ -146,45 +150,65 @@ class Automaton:
 
 
 _SPANS = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64()), ("b0", pa.int64()), ("b1", pa.int64())]))
-_FOUND = "n_words long, spans array<struct<s:long,e:long,b0:long,b1:long>>, items array<long>"
+_FOUND = pa.struct([("n_words", pa.int64()), ("spans", _SPANS), ("items", pa.list_(pa.int64()))])
+_LONG = T.LongType()
+#: What is found in a text: its words, hit ranges as words [s, e) and bytes [b0, b1), ids of the items, sorted.
+FOUND = T.StructType([T.StructField("n_words", _LONG), T.StructField("spans", T.ArrayType(T.StructType([T.StructField(n, _LONG) for n in ("s", "e", "b0", "b1")]))), T.StructField("items", T.ArrayType(_LONG))])
 
 
-def _matched(automaton, names: list[str], text: int):
+def _matched(automaton, text: int, at: str):
     inside = W.table("alnum")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = automaton.value
         for b in batches:
             raw_at = W.buffers(b.column(text))[1]
-            n_words, spans, items = [], [], []
-            for first, rows, h, at, ends in W.placed(b.column(text), inside):
+            out = []
+            for first, rows, h, begin, ends in W.placed(b.column(text), inside):
                 for i in range(rows):
-                    s, e = int(at[i]), int(at[i + 1])
+                    s, e = int(begin[i]), int(begin[i + 1])
                     hit, found = a.match(h[s:e])
                     base = int(raw_at[first + i])
-                    n_words.append(e - s)
-                    spans.append([{"s": x, "e": y, "b0": int(ends[0, s + x]) - base, "b1": int(ends[1, s + y - 1]) - base} for x, y in hit])
-                    items.append(sorted(x for x in found if x is not None))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n_words, pa.int64()), pa.array(spans, _SPANS), pa.array(items, pa.list_(pa.int64()))], names=[*names, "n_words", "spans", "items"])
+                    spans = [{"s": x, "e": y, "b0": int(ends[0, s + x]) - base, "b1": int(ends[1, s + y - 1]) - base} for x, y in hit]
+                    out.append({"n_words": e - s, "spans": spans, "items": sorted(x for x in found if x is not None)})
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, _FOUND)], names=[*b.schema.names, at])
 
     return run
 
 
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (row, all: what several automata found in a text) as (row, found)."""
+    for b in batches:
+        out = []
+        for parts in b.column(1).to_pylist():
+            spans: list[dict] = []
+            for x in sorted((x for p in parts for x in p["spans"]), key=lambda x: (x["s"], x["e"])):
+                if spans and spans[-1]["e"] >= x["s"]:
+                    if x["e"] > spans[-1]["e"]:
+                        spans[-1]["e"], spans[-1]["b1"] = x["e"], x["b1"]
+                else:
+                    spans.append(x)
+            out.append({"n_words": parts[0]["n_words"], "spans": spans, "items": sorted({x for p in parts for x in p["items"]})})
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, _FOUND)], names=["row", "found"])
+
+
 def _shards(items: DataFrame, size: int, limit: int) -> Iterator[Automaton]:
     """Automata over runs of items; the rows stream to the driver one shard at a time."""
     inside, held, n = W.table("alnum"), [], 0
     for r in items.toLocalIterator():
         h = np.concatenate([np.zeros(0, np.uint64), *(x[2] for x in W.words(pa.array([r["text"]], pa.large_string()), inside))])
-        if held and n + len(h) > limit:
-            yield Automaton(held, size)
-            held, n = [], 0
-        held.append((r["item_id"], h))
-        n += len(h)
+        step = limit - size + 1
+        for part in [h[i : i + limit] for i in range(0, len(h) - size + 1, step)] if len(h) > limit else [h]:
+            if held and n + len(part) > limit:
+                yield Automaton(held, size)
+                held, n = [], 0
+            held.append((r["item_id"], part))
+            n += len(part)
     yield Automaton(held, size)
 
 
-def find(docs: DataFrame, items: DataFrame, size: int = 10, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """`docs` with columns n_words, spans and items.
+def find(docs: DataFrame, items: DataFrame, size: int = 10, shard_words: int = SHARD_WORDS, at: str = "found") -> DataFrame:
+    """`docs` with a column `at` of FOUND, which no column of docs may be named.
 
     Words are runs of digits, letters and characters beyond ASCII, A-Z lower-cased. A window is `size`
     consecutive words of an item, or a shorter item as a whole; a word inside any occurrence of a
@@ -192,66 +216,55 @@ def find(docs: DataFrame, items: DataFrame, size: int = 10, shard_words: int = S
     with an occurring window; an item without id takes part but is not listed. A null or empty text has no words; without items
     nothing is hit.
     """
+    if free(at, docs.columns) != at:
+        raise ValueError(f"docs has a column {at}")
     spark = docs.sparkSession
     items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    names = docs.columns
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    shards = _shards(items, size, shard_words)
-    passed = None
-    for i, a in enumerate(shards):
-        if i == 0:
-            first = a
-            continue
-        if passed is None:
-            keyed = cut(docs.withColumn("_row", F.expr("uuid()")))
-            kn, kf = keyed.columns, fields + ", _row string"
-            passed = keyed.mapInArrow(_matched(spark.sparkContext.broadcast(first), kn, kn.index("text")), f"{kf}, {_FOUND}")
-        more = keyed.select("_row", "text").mapInArrow(_matched(spark.sparkContext.broadcast(a), ["_row", "text"], 1), f"_row string, text string, {_FOUND}")
-        more = more.filter(F.size("spans") > 0).select("_row", F.col("spans").alias("_s"), F.col("items").alias("_i"))
-        none = F.array()
-        joined = passed.join(more, "_row", "left")
-        both = joined.withColumns({"spans": F.concat("spans", F.coalesce("_s", none.cast("array<struct<s:long,e:long,b0:long,b1:long>>"))), "items": F.concat("items", F.coalesce("_i", none.cast("array<long>")))})
-        passed = both.drop("_s", "_i")
-    if passed is not None:
-        joined_spans = F.aggregate(
-            F.array_sort("spans"),
-            F.array().cast("array<struct<s:long,e:long,b0:long,b1:long>>"),
-            lambda acc, x: F.when(
-                (F.size(acc) > 0) & (F.element_at(acc, -1)["e"] >= x["s"]),
-                F.concat(
-                    F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))),
-                    F.array(F.struct(F.element_at(acc, -1)["s"].alias("s"), F.greatest(F.element_at(acc, -1)["e"], x["e"]).alias("e"), F.element_at(acc, -1)["b0"].alias("b0"), F.greatest(F.element_at(acc, -1)["b1"], x["b1"]).alias("b1"))),
-                ),
-            ).otherwise(F.concat(acc, F.array(x))),
-        )
-        return passed.withColumns({"spans": F.when(F.size("spans") > 0, joined_spans).otherwise(F.col("spans")), "items": F.array_sort(F.array_distinct("items"))}).select(*names, "n_words", "spans", "items")
-    return docs.mapInArrow(_matched(spark.sparkContext.broadcast(first), names, names.index("text")), f"{fields}, {_FOUND}")
-
-
-def hit_words():
-    return F.aggregate("spans", F.lit(0).cast("long"), lambda acc, x: acc + x["e"] - x["s"])
+    shards = _shards(items, size, max(shard_words, 2 * size))
+    first, second = next(shards), next(shards, None)
+    schema = T.StructType([*docs.schema.fields, T.StructField(at, FOUND)])
+    if second is None:
+        return docs.mapInArrow(_matched(spark.sparkContext.broadcast(first), docs.columns.index("text"), at), schema)
+    row = free("row", [*docs.columns, at])
+    keyed = cut(docs.withColumn(row, F.expr("uuid()")))
+    texts, parts = keyed.select(F.col(row).alias("row"), "text"), []
+    for a in chain([first, second], shards):
+        sent = spark.sparkContext.broadcast(a)
+        got = texts.mapInArrow(_matched(sent, 1, "found"), T.StructType([*texts.schema.fields, T.StructField("found", FOUND)]))
+        parts.append(cut((got.filter(F.size("found.spans") > 0) if parts else got).select("row", "found")))
+        sent.destroy()
+    each = reduce(DataFrame.unionByName, parts).groupBy("row").agg(F.collect_list("found").alias("all"))
+    united = each.mapInArrow(_united, T.StructType([T.StructField("row", T.StringType()), T.StructField("found", FOUND)]))
+    return keyed.join(united.select(F.col("row").alias(row), F.col("found").alias(at)), row).drop(row)
+
+
+def hit_words(at: str = "found") -> Column:
+    return F.aggregate(F.col(at)["spans"], F.lit(0).cast("long"), lambda acc, x: acc + x["e"] - x["s"])
 
 
 def report(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame:
     """Per row of `docs`: doc_id, n_words, n_hit, n_items, items_sha256 (of the ids sorted as text, comma-joined) and contaminated."""
     found = find(docs.select("doc_id", F.col("text").cast("string").alias("text")), items, size)
-    ids = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
-    return found.select("doc_id", "n_words", hit_words().alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(ids.cast("binary"), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"))
+    ids = F.array_join(F.array_sort(F.transform("found.items", lambda x: x.cast("string"))), ",")
+    hit = F.size("found.spans") > 0
+    return found.select("doc_id", "found.n_words", hit_words().alias("n_hit"), F.size("found.items").cast("long").alias("n_items"), F.sha2(ids.cast("binary"), 256).alias("items_sha256"), hit.alias("contaminated"))
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, size: int = 10, longest: int = 0, coverage: float = 0.5) -> DataFrame:
     """`docs` without test items: hit spans of more than `longest` words are cut from the text (a line break is left
     in their place), and a document of which more than `coverage` is hit goes as a whole. A column n_chars follows the text.
-    Other rows come back as they were."""
-    found = find(docs, items, size).filter(F.col("n_words") * F.lit(coverage) >= hit_words())
+    Other rows come back as they were, and so do all other columns, whatever their names."""
+    at = free("found", docs.columns)
+    found = find(docs, items, size, at=at).filter(F.col(at)["n_words"] * F.lit(coverage) >= hit_words(at))
     raw = F.col("text").cast("binary")
-    spans = F.filter("spans", lambda x: x["e"] - x["s"] > longest)
+    spans = F.filter(F.col(at)["spans"], lambda x: x["e"] - x["s"] > longest)
     starts = F.concat(F.array(F.lit(0).cast("long")), F.transform(spans, lambda x: x["b1"]))
     ends = F.concat(F.transform(spans, lambda x: x["b0"]), F.array(F.octet_length("text").cast("long")))
     pieces = F.transform(F.arrays_zip(starts.alias("a"), ends.alias("b")), lambda p: F.decode(F.substring(raw, (p["a"] + 1).cast("int"), (p["b"] - p["a"]).cast("int")), "utf-8"))
-    text = F.when(F.size(spans) > 0, F.array_join(pieces, "\n")).otherwise(F.col("text"))
-    out = found.withColumn("_text", text)
-    change = {"text": F.col("_text")}
+    cleaned = F.when(F.size(spans) > 0, F.array_join(pieces, "\n")).otherwise(F.col("text"))
+    text = free("text_", [*docs.columns, at])
+    out = found.withColumn(text, cleaned)
+    change = {"text": F.col(text)}
     if "n_chars" in docs.columns:
-        change["n_chars"] = F.when(F.size(spans) > 0, F.length("_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+        change["n_chars"] = F.when(F.size(spans) > 0, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     return out.withColumns(change).select(*docs.columns)

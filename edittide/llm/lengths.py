@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from edittide.llm.common import cut
+
 #: Parameter defaults: the ranks of a byte-level BPE, and its split pattern (a fixed value of that vocabulary).
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -82,9 +84,10 @@ def suffix_sums(hist: DataFrame) -> DataFrame:
     """Per length: n_tokens, n_docs, docs_above, tokens_above (of longer documents), tokens_cut (all tokens if each document is cut at
     n_tokens) and share_within (documents of at most n_tokens).
 
-    Sums run over blocks of lengths first and inside a block then, so no task sees all lengths.
+    Sums run over blocks of lengths first and inside a block then, so no task sees all lengths. The histogram is written first, since it is
+    read twice and texts should be encoded once.
     """
-    rows = hist.withColumns({"block": F.floor(F.col("n_tokens") / BLOCK), "t": F.col("n_tokens") * F.col("n_docs")})
+    rows = cut(hist).withColumns({"block": F.floor(F.col("n_tokens") / BLOCK), "t": F.col("n_tokens") * F.col("n_docs")})
     blocks = rows.groupBy("block").agg(F.sum("n_docs").alias("d"), F.sum("t").alias("t"))
     above = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy()

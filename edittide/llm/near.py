@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from edittide.llm import words as W
@@ -66,16 +66,16 @@ def sketches(h: np.ndarray, at: np.ndarray, t: int) -> np.ndarray:
     return out.reshape(rows, t)
 
 
-_SKETCH = "doc_id long, n long, f1 long, f2 long, bands array<long>, bits binary"
+_SKETCH = "doc_id long, h long, n long, f1 long, f2 long, bands array<long>, bits binary"
 
 
 def _sketched(k: int, bands: int):
     inside = W.table("space")
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("bands", pa.list_(pa.int64())), ("bits", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("bands", pa.list_(pa.int64())), ("bits", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for first, rows, h, at in W.shingles(b.column(1), k, inside):
+            for first, rows, h, at in W.shingles(b.column(2), k, inside):
                 n = np.diff(at)
                 sums = np.zeros((2, len(h) + 1), np.uint64)
                 np.cumsum(W.mix(h), out=sums[0, 1:])
@@ -88,8 +88,8 @@ def _sketched(k: int, bands: int):
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * bands), pa.array(band.astype(np.int64).ravel()))
                 bits = (W.mix(s) & np.uint64(15)).astype(np.uint8)
                 bits = bits[:, ::2] << 4 | bits[:, 1::2]
-                ids = b.column(0).slice(first, rows)
-                yield pa.RecordBatch.from_arrays([ids, pa.array(n), pa.array(f[0]), pa.array(f[1]), lists, pa.array([r.tobytes() for r in bits], pa.binary())], schema=schema)
+                ids = [b.column(i).slice(first, rows) for i in range(2)]
+                yield pa.RecordBatch.from_arrays([*ids, pa.array(n), pa.array(f[0]), pa.array(f[1]), lists, pa.array([r.tobytes() for r in bits], pa.binary())], schema=schema)
 
     return run
 
@@ -222,21 +222,33 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct())
 
 
+def content_order(text: str) -> Column:
+    """Of rows that share a doc_id, the first in this order is the one that is judged."""
+    return F.desc(F.xxhash64(F.col(text).cast("string")))
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """Per row of `docs` (doc_id, text): doc_id, n_shingles, component_id, kept, class_id, n_links.
+    """Per row of `docs` (doc_id, text): doc_id, n_shingles, component_id, kept, class_id.
 
-    Two rows are linked if 100 * intersection >= percent * union of their sets of k-word shingles (words:
+    Two documents are linked if 100 * intersection >= percent * union of their sets of k-word shingles (words:
     runs of other than ASCII white space, A-Z lower-cased). A text of fewer words is one shingle; a null
     or wordless text has an empty set and links with nothing. class_id: the smallest doc_id with the same
-    set; n_links: links of the class to other classes verified on
-    the way, not all there are, since a tile keeps those that join components. Rows without a doc_id come back with a
-    null component and kept = false. Rows that repeat a doc_id count as one document.
+    set. Rows without a doc_id come back with a null component and kept = false. Rows that share a doc_id are one document: the text that
+    is first by `content_order` is judged, and all of them have its results.
     """
     bands = bands_for(percent / 100)
     t = WIDER * bands * ROWS
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    own = cut(docs.mapInArrow(_sketched(k, bands), _SKETCH))
-    some = own.filter("n > 0 and doc_id is not null")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
+    own = cut(docs.select("doc_id", "h", "text").mapInArrow(_sketched(k, bands), _SKETCH))
+    judged, each = own, own.select("doc_id", "n", "f1", "f2")
+    several = own.filter("doc_id is not null").groupBy("doc_id").agg(F.max("h").alias("top"), F.min("h").alias("low")).filter("top <> low").select("doc_id", "top")
+    several = cut(several)
+    if not several.isEmpty():
+        of_first = lambda df: df.join(several, "doc_id", "left").filter("top is null or h = top").drop("top")
+        judged, docs = of_first(own), of_first(docs)
+        first = judged.join(several.select("doc_id"), "doc_id", "left_semi").select("doc_id", *[F.col(c).alias(f"{c}_") for c in ("n", "f1", "f2")]).distinct()
+        each = each.join(first, "doc_id", "left").select("doc_id", *[F.coalesce(f"{c}_", c).alias(c) for c in ("n", "f1", "f2")])
+    some = judged.filter("n > 0 and doc_id is not null")
     classes = some.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"))
     reps = cut(some.join(classes.select("n", "f1", "f2", F.col("rep").alias("doc_id")), ["n", "f1", "f2", "doc_id"], "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "n", "bands", "bits"))
 
@@ -271,10 +283,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     second = rows.mapInArrow(_near_blocks(k, low, percent), "a long, b long")
     links = cut(links.unionByName(second).distinct())
     label = components(links)
-    ends = links.select(F.col("a").alias("rep")).unionByName(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("n_links"))
 
-    of_class = classes.join(label.withColumnRenamed("node", "rep"), "rep", "left").join(ends, "rep", "left")
-    out = own.select("doc_id", "n", "f1", "f2").join(of_class, ["n", "f1", "f2"], "left")
+    of_class = classes.join(label.withColumnRenamed("node", "rep"), "rep", "left")
+    out = each.join(of_class, ["n", "f1", "f2"], "left")
     component = F.coalesce("component", "rep", "doc_id")
     component = F.when(F.col("n") > 0, component).otherwise(F.col("doc_id"))
     return out.select(
@@ -283,5 +294,4 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         F.when(F.col("doc_id").isNotNull(), component).alias("component_id"),
         F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"),
         F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("doc_id"))).alias("class_id"),
-        F.coalesce(F.when(F.col("n") > 0, F.col("n_links")), F.lit(0)).cast("long").alias("n_links"),
     )

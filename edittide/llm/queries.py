@@ -24,8 +24,7 @@ def query(sql: str | None = None):
 @query()
 def op8_near_duplicates(spark, sf_dir):
     """Components of documents linked at 85 % over three-word shingles."""
-    found = near.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
-    return found.select("doc_id", "n_shingles", "component_id", "kept", "class_id", "n_links")
+    return near.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
 
 
 #: What ends a word of the decontamination query.
@@ -60,17 +59,32 @@ def op6_toxicity(spark, sf_dir):
     """Every document's category probabilities; toxic: what the chain flags."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     chain = toxicity.train(docs, table(spark, sf_dir, "labels"), CATEGORIES)
-    return toxicity.scored(docs, chain).select("doc_id", "p_low_quality", "p_toxic", F.col("is_toxic").alias("toxic"))
+    return toxicity.scored(docs, chain).select("doc_id", "scores.p_low_quality", "scores.p_toxic", F.col("scores.is_toxic").alias("toxic"))
 
 
-#: Weights of the sources in turn.
-WEIGHTS = (5.0, 2.0, 1.0)
+#: Weights over training time of the sources in turn: falling, level, rising. Their integrals are 5, 2 and 1.
+SCHEDULES = (mixing.ramp(6.0, 4.0), mixing.constant(2.0), mixing.ramp(0.5, 1.5))
+_KNOTS = " ".join(f"WHEN {i} THEN {{'w': {s[0][1]}, 'm': {s[1][1] - s[0][1]}, 'z': {mixing.area(s)}}}" for i, s in enumerate(SCHEDULES))
 
 
-@query()
+@query(
+    f"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+p AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+n AS (SELECT *, CASE (row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1) % 3 {_KNOTS} END AS k FROM p),
+o AS (SELECT *, 2.0 * source_size AS cap, sum(2.0 * source_size) OVER w AS until, sum(k.z) OVER w AS gone FROM n WINDOW w AS (ORDER BY source_size / k.z, encode(source) NULLS FIRST ROWS UNBOUNDED PRECEDING)),
+u AS (SELECT max((1.5 * (SELECT sum(source_size) FROM p) - (until - cap)) / ((SELECT sum(k.z) FROM n) - (gone - k.z))) AS unit FROM o),
+t AS (SELECT source, source_size, k, CAST(least(cap, unit * k.z) AS DOUBLE) AS target FROM o, u),
+h AS (SELECT *, CAST('0x' || substr(md5(concat_ws('|', doc_id, size)), 1, 15) AS BIGINT) AS h FROM d),
+e AS (SELECT h.*, sum(size) OVER (PARTITION BY source ORDER BY h, doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING) AS e FROM h),
+f AS (SELECT doc_id, e.source, size, source_size, target, k, floor((e - size) * (target / nullif(source_size, 0))) AS a, floor(e * (target / nullif(source_size, 0))) AS b FROM e JOIN t ON e.source IS NOT DISTINCT FROM t.source),
+g AS (SELECT *, a / nullif(target, 0) * k.z AS c FROM f)
+SELECT doc_id, source, size, source_size, target, CAST(coalesce(b - a, 0) AS BIGINT) AS taken,
+  CASE WHEN b > a THEN round(2 * c / (k.w + sqrt(greatest(k.w * k.w + 2 * k.m * c, 0))), 6) END AS position FROM g"""
+)
 def op7_mixing(spark, sf_dir):
     """Sources mixed 5 : 2 : 1 in turn to 150 % of all words, none beyond two passes."""
-    return mixing.mixed(table(spark, sf_dir, "documents"), [mixing.constant(w) for w in WEIGHTS]).select("doc_id", "size", "source_size", "target", "taken", "source", "position")
+    return mixing.mixed(table(spark, sf_dir, "documents"), SCHEDULES).withColumn("position", F.round("position", 6))
 
 
 @query()

@@ -4,8 +4,8 @@ Categories are predicted one after the other. Each has a logistic model over has
 models also see the probabilities of the earlier categories. For training, these are out-of-fold: a
 row's earlier probabilities come from models that have not seen it, as at prediction time.
 
-The models are fitted on the driver, on a bounded sample of the labelled rows (FIT_ROWS, the smallest
-hashes of their ids, so the same rows each time); every document is scored.
+The models are fitted on the driver, on a bounded sample of the labelled documents (FIT_ROWS, the smallest
+hashes of their ids, so the same ones each time); every document is scored.
 """
 
 from __future__ import annotations
@@ -17,8 +17,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from edittide.llm import words as W
+from edittide.llm.common import free
 
 #: Labelled rows to fit on; bits of the word hash; rows that must hold a word before it counts; folds.
 FIT_ROWS, BITS, LEAST_ROWS, FOLDS = 8_000, 20, 5, 3
@@ -125,13 +127,17 @@ def _threshold(p: np.ndarray, y: np.ndarray) -> float:
 
 def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], fit_rows: int = FIT_ROWS) -> Chain:
     """Fits a chain on `fit_rows` labelled documents at most. categories: name to a SQL condition over labels, in chain
-    order; a null label counts as false. Without labelled rows every probability is 0.5 and nothing is flagged."""
+    order; a null label counts as false. Of rows that share a doc_id the text with the largest hash counts, so `fit_rows` bounds what reaches the
+    driver. Without labelled rows every probability is 0.5 and nothing is flagged."""
     names = list(categories)
     marks = labels.filter("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(*[F.max(F.coalesce(F.expr(c), F.lit(False)).cast("int")).alias(f"_{i}") for i, c in enumerate(categories.values())])
-    picked = marks.withColumn("_h", F.xxhash64("doc_id")).orderBy("_h", "doc_id").limit(fit_rows).drop("_h")
-    joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(picked, "doc_id").select("doc_id", *[f"_{i}" for i in range(len(names))], "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    known = marks.join(texts.select("doc_id"), "doc_id", "left_semi")
+    picked = known.withColumn("_h", F.xxhash64("doc_id")).orderBy("_h", "doc_id").limit(fit_rows).drop("_h")
+    some = texts.join(F.broadcast(picked), "doc_id")  # of fit_rows rows at most
+    one = some.groupBy("doc_id", *[f"_{i}" for i in range(len(names))]).agg(F.max(F.struct(F.xxhash64("text").alias("h"), "text"))["text"].alias("text"))
     fields = "doc_id long, " + ", ".join(f"_{i} int" for i in range(len(names))) + ", words array<int>"
-    got = joined.mapInArrow(_features, fields).orderBy("doc_id").toArrow().combine_chunks()
+    got = one.mapInArrow(_features, fields).orderBy("doc_id").toArrow().combine_chunks()
     chain = Chain(names)
     rows = got.num_rows
     if not rows:
@@ -166,11 +172,12 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], fit_ro
     return chain
 
 
-def _scored(chain, names: list[str], text: int):
+def _scored(chain, text: int, at: str):
     inside = W.table("alnum")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = chain.value
+        names = [*(f"p_{n}" for n in c.categories), *(f"is_{n}" for n in c.categories)]
         tables = []
         for w in c.weights:
             table = np.zeros(1 << BITS)
@@ -178,8 +185,8 @@ def _scored(chain, names: list[str], text: int):
             tables.append(table)
         for b in batches:
             parts: list[list[np.ndarray]] = [[] for _ in c.categories]
-            for _, rows, h, at in W.shingles(b.column(text), 1, inside):
-                own = np.repeat(np.arange(rows), np.diff(at))
+            for _, rows, h, begin in W.shingles(b.column(text), 1, inside):
+                own = np.repeat(np.arange(rows), np.diff(begin))
                 pair = np.unique(own.astype(np.int64) << BITS | (h >> np.uint64(64 - BITS)).astype(np.int64))
                 own, ids = pair >> BITS, pair & ((1 << BITS) - 1)
                 earlier = np.zeros((rows, 0))
@@ -188,16 +195,17 @@ def _scored(chain, names: list[str], text: int):
                     parts[i].append(p)
                     earlier = np.column_stack([earlier, p])
             scores = [np.concatenate(p) if p else np.zeros(0) for p in parts]
-            flags = [s > t for s, t in zip(scores, c.thresholds)]
-            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(s) for s in scores), *(pa.array(f) for f in flags)], names=[*names, *(f"p_{n}" for n in c.categories), *(f"is_{n}" for n in c.categories)])
+            cells = pa.StructArray.from_arrays([*(pa.array(s) for s in scores), *(pa.array(s > t) for s, t in zip(scores, c.thresholds))], names=names)
+            yield pa.RecordBatch.from_arrays([*b.columns, cells], names=[*b.schema.names, at])
 
     return run
 
 
-def scored(docs: DataFrame, chain: Chain) -> DataFrame:
-    """`docs` with p_<category> and is_<category> (probability above the category's threshold). A null or empty text has no words
-    and gets the intercept's probability."""
+def scored(docs: DataFrame, chain: Chain, at: str = "scores") -> DataFrame:
+    """`docs` with a column `at`, which no column of docs may be named: p_<category> and is_<category> (probability above the category's
+    threshold). A null or empty text has no words and gets the intercept's probability."""
+    if free(at, docs.columns) != at:
+        raise ValueError(f"docs has a column {at}")
     sent = docs.sparkSession.sparkContext.broadcast(chain)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    more = ", ".join([*(f"p_{n} double" for n in chain.categories), *(f"is_{n} boolean" for n in chain.categories)])
-    return docs.mapInArrow(_scored(sent, docs.columns, docs.columns.index("text")), f"{fields}, {more}")
+    cells = T.StructType([*(T.StructField(f"p_{n}", T.DoubleType()) for n in chain.categories), *(T.StructField(f"is_{n}", T.BooleanType()) for n in chain.categories)])
+    return docs.mapInArrow(_scored(sent, docs.columns.index("text"), at), T.StructType([*docs.schema.fields, T.StructField(at, cells)]))

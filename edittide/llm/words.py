@@ -139,7 +139,7 @@ def shingles(column: pa.Array, k: int, inside: np.ndarray) -> Iterator[tuple[int
     for first, rows, h, at in words(column, inside):
         n = np.diff(at)
         acc = np.zeros(len(h), np.uint64)
-        for i in range(k):
+        for i in range(min(k, len(h))):
             acc[: len(h) - i] += mix(h[i:] + np.uint64(i * 0x9E3779B97F4A7C15 & _ALL))
         row = np.repeat(np.arange(rows), n)
         place = np.arange(len(h)) - at[:-1][row]

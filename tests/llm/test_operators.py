@@ -74,11 +74,11 @@ def _contaminated(text, items, size=10):
 def test_decontamination(spark, shard):
     rng = random.Random(5)
     word = lambda: rng.choice("a b c d e".split())
-    items = [(i, " ".join(word() for _ in range(rng.choice([0, 2, 4, 6, 9])))) for i in range(8)] + [(100, None), (9, "Q"), (None, "z z z z"), (8, "x y"), (8, "x y")]
+    items = [(i, " ".join(word() for _ in range(rng.choice([0, 2, 4, 6, 9])))) for i in range(8)] + [(100, None), (9, "Q"), (None, "z z z z"), (8, "x y"), (8, "x y"), (7, " ".join(word() for _ in range(40)))]
     docs = [(i, " ".join(word() for _ in range(rng.randint(0, 40))) + rng.choice(["", " q", " X y!", " z z z z z"])) for i in range(60)] + [(60, None), (61, ""), (61, ""), (None, "a b")]
     i_df = spark.createDataFrame(items, "item_id long, text string")
     d_df = spark.createDataFrame(docs, "doc_id long, text string")
-    found = decontaminate.find(d_df, i_df, size=4, shard_words=shard).select("doc_id", "text", "n_words", decontaminate.hit_words().alias("n"), F.transform("items", lambda x: x.cast("string")).alias("items")).collect()
+    found = decontaminate.find(d_df, i_df, size=4, shard_words=shard).select("doc_id", "text", "found.n_words", decontaminate.hit_words().alias("n"), F.transform("found.items", lambda x: x.cast("string")).alias("items")).collect()
     assert len(found) == len(docs)
     for r in found:
         n, hit, ids = _contaminated(r["text"], items, 4)
@@ -192,34 +192,106 @@ def test_toxicity_held_out(spark):
     docs = spark.createDataFrame([r[:2] for r in rows] + [(-1, None), (-2, "")], "doc_id long, text string")
     labels = spark.createDataFrame([(r[0], *r[2:]) for r in rows[:600]] + [(None, 1, 1), (0, None, None)], "doc_id long, quality int, toxic int")
     chain = toxicity.train(docs, labels, queries.CATEGORIES)
-    got = {r["doc_id"]: r for r in toxicity.scored(docs, chain).collect()}
+    got = {r["doc_id"]: r["scores"] for r in toxicity.scored(docs, chain).collect()}
     wrong = sum(got[r[0]]["is_toxic"] != bool(r[3]) for r in rows[600:])
     assert wrong <= 3 and len(got) == 902 and not got[-1]["is_toxic"] and not got[-2]["is_toxic"]
     assert len(chain.weights[1]) == len(chain.words) + 2
     blank = toxicity.train(docs, labels.limit(0), queries.CATEGORIES)
-    assert not any(r["is_toxic"] for r in toxicity.scored(docs, blank).collect())
+    assert not any(r["scores"]["is_toxic"] for r in toxicity.scored(docs, blank).collect())
+    many = docs.filter("doc_id = 3").crossJoin(spark.range(500).select()).unionByName(docs)
+    again = toxicity.train(many, labels.unionByName(spark.createDataFrame([(10**6 + i, 1, 1) for i in range(5000)], labels.schema)), queries.CATEGORIES, fit_rows=600)
+    assert (again.words == chain.words).all() and again.weights[1] == pytest.approx(chain.weights[1])
 
 
-def test_mixing(spark):
+def _logistic(x, y, penalty):
+    """Ridge logistic regression by Newton's method; penalty: of each column."""
+    w = np.zeros(x.shape[1])
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-x @ w))
+        w -= np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + np.diag(penalty), x.T @ (p - y) + penalty * w)
+    return w
+
+
+def test_chain_against_newton(spark):
+    """The whole chain, out-of-fold probabilities included, against dense Newton steps."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(240):
+        low = rng.random() < 0.4
+        bad = rng.random() < (0.6 if low else 0.1)
+        rows.append((i, " ".join(rng.sample("a b c d e f g h".split(), 4) + (["low"] if low and rng.random() < 0.9 else []) + (["bad"] if bad and rng.random() < 0.9 else [])), int(not low), int(bad)))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], *r[2:]) for r in rows], "doc_id long, quality int, toxic int")
+    chain = toxicity.train(docs, labels, queries.CATEGORIES)
+    got = {r["doc_id"]: (r["scores"]["p_low_quality"], r["scores"]["p_toxic"]) for r in toxicity.scored(docs, chain).collect()}
+    names = sorted({w for r in rows for w in r[1].split()})
+    x = np.array([[w in r[1].split() for w in names] for r in rows], float)
+    x = x[:, x.sum(0) <= 0.7 * len(rows)]
+    fold = np.argsort(np.argsort(W.mix(np.arange(len(rows)).astype(np.uint64)), kind="stable"), kind="stable") % toxicity.FOLDS
+    sigmoid = lambda z: 1 / (1 + np.exp(-z))
+
+    def fitted(x, extra, y):
+        rate = y.mean()
+        keep = np.abs(y @ x - x.sum(0) * rate) / np.sqrt(x.sum(0) * rate * (1 - rate)) >= 5
+        dense = np.column_stack([x[:, keep], extra, np.ones(len(x))])
+        w = _logistic(dense, y, np.array([0.3] * keep.sum() + [0.01] * extra.shape[1] + [1e-6]))
+        return lambda x, extra: sigmoid(np.column_stack([x[:, keep], extra, np.ones(len(x))]) @ w)
+
+    earlier, seen = np.zeros((len(rows), 0)), np.zeros((len(rows), 0))
+    for c, y in enumerate((np.array([1 - r[2] for r in rows], float), np.array([r[3] for r in rows], float))):
+        p = fitted(x, earlier, y)(x, seen)
+        assert np.abs(p - np.array([got[i][c] for i in range(len(rows))])).max() < 0.02
+        out = np.zeros(len(rows))
+        for f in range(toxicity.FOLDS):
+            out[fold == f] = fitted(x[fold != f], earlier[fold != f], y[fold != f])(x[fold == f], earlier[fold == f])
+        earlier, seen = np.column_stack([earlier, out]), np.column_stack([seen, p])
+
+
+def _targets(sizes, weights, total, most):
+    """Shares by weight, cut at the limits and shared again, round by round."""
+    out, left = {}, total
+    while len(out) < len(sizes):
+        w = sum(weights[i] for i in range(len(sizes)) if i not in out)
+        unit = left / w
+        over = [i for i in range(len(sizes)) if i not in out and unit * weights[i] > most * sizes[i]]
+        if not over:
+            return [out.get(i, unit * weights[i]) for i in range(len(sizes))]
+        for i in over:
+            out[i] = most * sizes[i]
+            left -= out[i]
+    return [out[i] for i in range(len(sizes))]
+
+
+def test_mixing(spark, monkeypatch):
     rng = random.Random(2)
-    rows = [(i, " ".join(["w"] * rng.randint(0, 30)), None, rng.choice(["a", "b", "é", None]), 0) for i in range(3000)] + [(None, None, None, "a", None), (5, "x y", None, "a", 0), (5, "x y", None, "a", 0)]
+    rows = [(i, " ".join(["w"] * rng.randint(0, 30)), None, rng.choice(["a", "b", "é", None]), 0) for i in range(3000)] + [(None, None, None, "a", None)] + [(5, "x y", None, "a", 0)] * 70
     docs = spark.createDataFrame(rows, DOCS)
-    got = mixing.mixed(docs, [mixing.constant(w) for w in queries.WEIGHTS]).collect()
+    run = lambda df: mixing.mixed(df, queries.SCHEDULES).collect()
+    got = run(docs)
     assert len(got) == len(rows)
     names = ["a", "b", "é", None]
     size = {s: sum(len(r[1].split()) for r in rows if r[3] == s and r[1]) for s in names}
-    want = mixing.targets([size[s] for s in names], [5, 2, 1, 5], 1.5 * sum(size.values()), 2)
+    want = _targets([size[s] for s in names], [5, 2, 1, 5], 1.5 * sum(size.values()), 2)
     for s, t in zip(names, want):
         mine = [r for r in got if r["source"] == s]
         assert abs(sum(r["taken"] for r in mine) - t) <= 1 and all(r["target"] == pytest.approx(t) and r["source_size"] == size[s] for r in mine)
     assert all(0 <= r["taken"] <= 2 * r["size"] for r in got)
     places = [r["position"] for r in got if r["position"] is not None]
     assert places == sorted(places) and 0 <= places[0] and places[-1] <= 1
-    again = mixing.mixed(docs.repartition(7), [mixing.constant(w) for w in queries.WEIGHTS]).collect()
-    assert sorted(map(str, again)) == sorted(map(str, got))
+    monkeypatch.setattr(mixing, "BLOCK", 50)
+    assert sorted(map(str, run(docs.repartition(7)))) == sorted(map(str, got))
     assert mixing.mixed(docs.limit(0), [mixing.constant(1)]).count() == 0
 
 
+def test_many_sources(spark):
+    rng = random.Random(3)
+    sizes = [rng.choice([0, 0, 1, 2, 5, 300, 2000]) for _ in range(500)]
+    df = spark.createDataFrame([(f"s{i:03}", s, float([5, 2, 1][i % 3])) for i, s in enumerate(sizes)], "source string, source_size long, weight double").repartition(9)
+    for share in (0.3, 1.0, 1.5, 1.9):
+        got = [r["target"] for r in mixing.targets(df, share, 2.0).orderBy("source").collect()]
+        assert got == pytest.approx(_targets(sizes, [[5, 2, 1][i % 3] for i in range(500)], share * sum(sizes), 2))
+
+
 def test_curriculum_follows_its_schedule(spark):
     docs = spark.createDataFrame([(i, "w w", "en", "a", 3) for i in range(4000)], DOCS)
     at = sorted(r["position"] for r in mixing.mixed(docs, [mixing.ramp(2.0, 0.0)], share=1.0).collect())
@@ -227,11 +299,6 @@ def test_curriculum_follows_its_schedule(spark):
         assert at[int(share * len(at))] == pytest.approx(1 - math.sqrt(1 - share), abs=0.01)
 
 
-def test_targets_are_reshared():
-    assert mixing.targets([10, 100, 100], [5, 1, 1], 150, 2) == [20, 65, 65]
-    assert mixing.targets([0, 10], [1, 1], 15, 2) == [0, 15]
-
-
 def _components(rows, k, percent):
     def of(text):
         w = _words(text)
@@ -282,6 +349,19 @@ def test_near_duplicates(spark, k, percent):
     assert near.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_rows_that_share_an_id(spark):
+    text = lambda a: " ".join(f"{a}{i}" for i in range(20))
+    rows = [(1, text("x")), (2, text("y")), (3, text("x")), (3, text("y")), (3, None), (4, text("z")), (4, text("z")), (5, text("z"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    judged = {}
+    for r in docs.withColumn("h", F.xxhash64("text")).collect():
+        judged[r["doc_id"]] = max(judged.get(r["doc_id"], (-(1 << 63), None)), (r["h"], r["text"]), key=lambda x: x[0])
+    want = _components([(i, t) for i, (_, t) in judged.items()], 5, 80)
+    for n in (1, 3):
+        got = near.near_duplicates(docs.repartition(n)).collect()
+        assert len(got) == len(rows) and all((r["n_shingles"], r["component_id"]) == want[r["doc_id"]] for r in got)
+
+
 def test_sketch_agreement_is_the_similarity():
     rng = np.random.default_rng(4)
     u = rng.integers(1, 1 << 63, 300, dtype=np.uint64)

@@ -29,3 +29,23 @@ def test_stages(spark, tmp_path):
     out = P.run(spark, str(tmp_path)).collect()
     assert {r["doc_id"] for r in out} == left[2]
     assert near.bands_for(0.8) > near.bands_for(0.85)
+
+
+def test_clashing_columns(spark, tmp_path):
+    text = "some words that are long enough to be a document of its own here"
+    rows = [(1, text, "en", "a", 3, "s", "f", "n", "r", True), (2, text, "en", "a", 3, "s", "f", "n", "r", False), (None, "b " * 12, None, None, None, None, None, None, None, None), (3, "clean words only", "en", "b", 1, None, None, None, None, None)]
+    kind = DOCS + ", scores string, Found string, n string, row string, is_toxic boolean"
+    spark.createDataFrame(rows, kind).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(9, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, "b " * 10)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for _, stage in P.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == [c.split()[0] for c in kind.split(", ")]
+    got = docs.collect()
+    assert sorted((r["doc_id"], r["Found"], r["n"]) for r in got) == [(1, "f", "n"), (3, None, None)]
+    assert P.run(spark, str(tmp_path)).count() == 2
+    empty = spark.read.parquet(str(tmp_path / "documents.parquet")).limit(0)
+    for _, stage in P.STAGES:
+        empty = stage(spark, empty, str(tmp_path))
+    assert empty.count() == 0
