@@ -3,8 +3,9 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
 stage's docs. All but the last return the columns of documents.
 
-Rows without doc_id pass every filter, since no decision can name them. Rows that repeat a doc_id count as one
-document, of which the near-duplicate stage keeps one row. An empty table stays empty.
+Rows without doc_id are judged by their text in the toxicity and decontamination stages like all others, and pass the near-duplicate stage,
+which names documents by their ids. Rows that share a doc_id count as one document there, of which one row stays. Further columns pass
+through, whatever their names; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -15,21 +16,23 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from edittide.llm import decontaminate, mixing, near, toxicity
-from edittide.llm.common import shared_dir, table
+from edittide.llm.common import free, removed, shared_dir, table
 from edittide.llm.queries import CATEGORIES
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the classifier chain flags as toxic."""
     chain = toxicity.train(docs, table(spark, sf_dir, "labels"), CATEGORIES)
-    return toxicity.scored(docs, chain).filter(~F.col("is_toxic")).select(*docs.columns)
+    at = free("scores", docs.columns)
+    return toxicity.scored(docs, chain, at).filter(~F.col(at)["is_toxic"]).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, with the smallest doc_id, of each group linked at 80 % over five-word shingles."""
     kept = near.near_duplicates(docs, k=5, percent=80).filter("kept").select("doc_id").distinct()
     known = docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi")
-    one = known.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))).filter("_n = 1")
+    n = free("n", docs.columns)
+    one = known.withColumn(n, F.row_number().over(Window.partitionBy("doc_id").orderBy(near.content_order("text")))).filter(F.col(n) == 1)
     return one.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
 
 
@@ -67,4 +70,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if i < len(STAGES) - 1:
             docs.write.parquet(f"{at}/{i}-{name}")
             docs = spark.read.parquet(f"{at}/{i}-{name}")
+            if i:
+                removed(spark, f"{at}/{i - 1}-{STAGES[i - 1][0]}")
     return docs
