@@ -6,7 +6,8 @@ graph of near centroids is held in memory and searched from a few entries. Each
 nearest centroid and, near a boundary, to those whose distance is within a ratio of it. A query reads the lists
 within a wider ratio. What it finds there is a floor for its results: a sweep over all lists scores every vector of each list whose
 bounding cap can hold a score of the floor or more, so results are exact, whatever the lists that were read first. A query that found too few has
-no floor and skips no list until the sweep gives it one. Equal vectors are searched once, and give their smallest ids.
+no floor and skips no list until the sweep gives it one. Equal vectors are searched once, and give their smallest ids. Without `exact` the
+lists that are read first give the results, and nothing is swept: cheaper, but how many of the nearest are found depends on how clustered the vectors are.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ from edittide.llm.common import cut
 SAMPLE, LIST, LISTS, BLOCK = 20_000, 64, 2_048, 4_096
 #: Ratio of distances up to which a vector is replicated, and its lists at most; the same for a query's lists.
 NEAR, COPIES, WIDE, PROBES = 1.06, 4, 1.35, 48
-#: Near centroids of each in the graph; entries; centroids kept in a search.
-DEGREE, ENTRIES, KEPT = 24, 32, 64
+#: Near centroids of each in the graph; entries; centroids kept in a search for a query's lists, and for a vector's.
+DEGREE, ENTRIES, KEPT, KEPT_OWN = 24, 32, 64, 64
 #: Of the sweep: components of the queries that are sent at once (more take more sweeps), vectors scored at once, pairs held by a task.
 SENT, PIECE, HELD = 4_000_000, 512, 1_000_000
 
@@ -95,9 +96,10 @@ class Graph:
         return ids, np.sqrt(d)
 
 
-def _lists(graph, longest: float, query: bool):
-    schema = pa.schema([("key", pa.int64()), ("list", pa.int64()), ("v", pa.list_(pa.float32())), ("vec_id", pa.int64()), ("own", pa.bool_())])
-    ratio, most = (WIDE, PROBES) if query else (NEAR, COPIES)
+def _lists(graph, longest: float, query: bool, number: pa.DataType):
+    """Rows (key, v): a row (key, list, v, own) for each of the vector's lists; own: the first."""
+    schema = pa.schema([("key", pa.int64()), ("list", pa.int64()), ("v", pa.list_(number)), ("own", pa.bool_())])
+    ratio, most, kept = (WIDE, PROBES, KEPT) if query else (NEAR, COPIES, KEPT_OWN)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g = graph.value
@@ -106,18 +108,18 @@ def _lists(graph, longest: float, query: bool):
                 part = b.slice(at, 1024)
                 x = np.stack(part.column(1).to_numpy(zero_copy_only=False)).astype(np.float64)
                 lift = np.zeros(len(x)) if query else np.sqrt(np.maximum(longest**2 - (x * x).sum(1), 0))
-                ids, d = g.search(np.column_stack([x, lift]))
+                ids, d = g.search(np.column_stack([x, lift]), kept)
                 keep = (d <= ratio * d[:, :1] + 1e-12) & np.isfinite(d)
                 keep[:, most:] = False
                 row, col = np.nonzero(keep)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(ids[row, col]), part.column(1).take(pa.array(row)).cast(pa.list_(pa.float32())), part.column(2).take(pa.array(row)), pa.array(col == 0)], schema=schema)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(ids[row, col]), part.column(1).take(pa.array(row)).cast(pa.list_(number)), pa.array(col == 0)], schema=schema)
 
     return run
 
 
 def _swept(sent, k: int, longest: float):
-    """Rows (list, key, vec_id, v), sorted by list: pairs (query, key, vec_id, score) that can be among a query's k best."""
-    schema = pa.schema([("query", pa.int64()), ("key", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+    """Rows (list, key, v), sorted by list: pairs (query, key, score) that can be among a query's k best."""
+    schema = pa.schema([("query", pa.int64()), ("key", pa.int64()), ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         queries, q, floor = sent.value
@@ -128,21 +130,21 @@ def _swept(sent, k: int, longest: float):
         pairs = 0
 
         def settled() -> tuple[np.ndarray, ...]:
-            who, key, vec, score = (np.concatenate(c) for c in zip(*held))
-            order = np.lexsort((vec, -score, who))
+            who, key, score = (np.concatenate(c) for c in zip(*held))
+            order = np.lexsort((key, -score, who))
             who = who[order]
             rank = np.arange(len(who)) - np.searchsorted(who, who)
             last = order[rank == k - 1]
             last_of = who[rank == k - 1]
             floor[last_of] = np.maximum(floor[last_of], score[last])
             order, who = order[rank < k], who[rank < k]
-            return who, key[order], vec[order], score[order]
+            return who, key[order], score[order]
 
         for b in batches:
             if not b.num_rows:
                 continue
-            lists, keys, vecs = (b.column(i).to_numpy() for i in range(3))
-            x = np.stack(b.column(3).to_numpy(zero_copy_only=False)).astype(np.float64)
+            lists, keys = (b.column(i).to_numpy() for i in range(2))
+            x = np.stack(b.column(2).to_numpy(zero_copy_only=False)).astype(np.float64)
             ends = np.append(np.flatnonzero(lists[1:] != lists[:-1]) + 1, len(lists))
             start = 0
             for end in ends:
@@ -162,7 +164,7 @@ def _swept(sent, k: int, longest: float):
                         part = ask[j : j + 1024]
                         row, col = np.nonzero(q[part] @ v.T >= (floor - slack)[part, None])
                         if len(row):
-                            held.append((part[row], keys[i + col], vecs[i + col], (v[col] * q[part[row]]).sum(1)))
+                            held.append((part[row], keys[i + col], (v[col] * q[part[row]]).sum(1)))
                             pairs += len(row)
                         if pairs > HELD:
                             held = [settled()]
@@ -216,66 +218,74 @@ def _scored(k: int):
     return run
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, exact: bool = True) -> DataFrame:
     """Per row of `queries` (vec_id, embedding) its k nearest rows of `vectors` but itself: query_id, rank, vec_id, score.
 
-    score: inner product in double precision; ties to the smaller vec_id. A vector that is null, zero, or holds null or non-finite
-    components takes no part, nor does one whose dimension is not the most common one, nor one without vec_id. Rows that repeat a vec_id
-    with the same vector count once. No vectors: no rows.
+    score: inner product in double precision, of the vectors as they are (array of float or double); ties to the smaller vec_id. A vector that is
+    null, zero, or holds null or non-finite components takes no part, nor does one whose dimension is not the most common one, nor one without
+    vec_id. Rows that share a vec_id are one vector, the first in the order of arrays. No vectors: no rows. Not `exact`: of the lists that
+    are read first only.
     """
     spark = vectors.sparkSession
+    double = any(f.name == "embedding" and f.dataType.simpleString() == "array<double>" for df in (vectors, queries) for f in df.schema.fields)
+    kind, number = ("double", pa.float64()) if double else ("float", pa.float32())
 
     def usable(df: DataFrame) -> DataFrame:
-        e = F.col("embedding").cast("array<float>")
+        e = F.col("embedding").cast(f"array<{kind}>")
         bad = F.exists(e, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-        ok = df.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(e, lambda x: x + F.lit(0.0).cast("float")).alias("v"), bad.alias("bad"))
-        return ok.filter("vec_id is not null and v is not null and not bad").filter(F.exists("v", lambda x: x != 0)).drop("bad").withColumn("key", F.xxhash64("v"))
+        ok = df.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(e, lambda x: x + F.lit(0.0).cast(kind)).alias("v"), bad.alias("bad"))
+        ok = ok.filter("vec_id is not null and v is not null and not bad").filter(F.exists("v", lambda x: x != 0))
+        return ok.groupBy("vec_id").agg(F.min("v").alias("v"))
 
-    all_, asked = usable(vectors), usable(queries)
+    all_, asked = cut(usable(vectors)), cut(usable(queries))
     sizes = all_.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("c")).orderBy(F.desc("c"), "d").first()
     if sizes is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     all_, asked = all_.filter(F.size("v") == sizes["d"]), asked.filter(F.size("v") == sizes["d"])
-    # Each distinct vector with its k + 1 smallest ids; the limit works before the shuffle.
-    w = Window.partitionBy("key").orderBy("vec_id")
-    few = cut(all_.dropDuplicates(["vec_id", "key"]).withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k + 1))
-    distinct = few.filter("r = 1").select("key", "v", "vec_id")
+    # A vector's key is the smallest of its ids. Of each, the k + 1 smallest ids are kept; the limit works before the shuffle.
+    w = Window.partitionBy("v").orderBy("vec_id")
+    few = cut(all_.withColumns({"r": F.row_number().over(w), "key": F.first("vec_id").over(w)}).filter(F.col("r") <= k + 1))
+    distinct = few.filter("r = 1").select("key", "v")
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
     n, longest = distinct.agg(F.count("*"), F.max(norm)).first()
-    picked = distinct.orderBy(F.xxhash64("key"), "vec_id").limit(SAMPLE).select("v").toArrow()
+    picked = distinct.orderBy(F.xxhash64("key"), "key").limit(SAMPLE).select("v").toArrow()
     x = np.array(picked["v"].to_pylist(), np.float64)
     x = np.column_stack([x, np.sqrt(np.maximum(longest**2 - (x * x).sum(1), 0))])
     graph = spark.sparkContext.broadcast(Graph(centroids(x, max(1, min(LISTS, n // LIST, len(x) // 8 or 1)))))
 
-    kind = "key long, list long, v array<float>, vec_id long, own boolean"
-    posted = cut(distinct.select("key", "v", "vec_id").mapInArrow(_lists(graph, longest, False), kind))
-    each_asked = asked.groupBy("key").agg(F.first("v").alias("v"))
-    probes = each_asked.withColumn("vec_id", F.lit(0).cast("long")).mapInArrow(_lists(graph, longest, True), kind)
+    rows_of = f"key long, list long, v array<{kind}>, own boolean"
+    posted = cut(distinct.mapInArrow(_lists(graph, longest, False, number), rows_of))
+    each_asked = asked.groupBy("v").agg(F.min("vec_id").alias("key")).select("key", "v")
+    probes = each_asked.mapInArrow(_lists(graph, longest, True, number), rows_of)
     blocks = posted.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
     cells = ("list", "salt", "kind", "key", "v")
-    dealt = posted.join(blocks, "list").withColumn("salt", F.pmod("key", "blocks"))
+    dealt = posted.join(blocks, "list").withColumn("salt", F.pmod(F.xxhash64("key"), "blocks"))
     members = dealt.withColumn("kind", F.lit(0)).select(*cells)
     ask = probes.join(blocks, "list").withColumns({"salt": F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)), "kind": F.lit(1)}).select(*cells)
     rows = members.unionByName(ask).repartition("list", "salt").sortWithinPartitions("list", "salt", "kind")
     found = rows.mapInArrow(_scored(k + 1), "query long, key long, score double").distinct()
-    # The floor of a query that found k + 1 vectors is the last one's score; the others have none.
-    top = found.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score")))).filter(F.col("r") <= k + 1)
-    floors = top.groupBy(F.col("query").alias("key")).agg(F.when(F.count("*") > k, F.min("score")).alias("floor"))
-    waiting = cut(each_asked.join(floors, "key", "left").select("key", "v", F.coalesce("floor", F.lit(float("-inf"))).alias("floor")))
-    sweeps = max(1, -(-waiting.count() * sizes["d"] // SENT))
-    whole = dealt.filter("own").repartition("list", "salt").sortWithinPartitions("list").select("list", "key", "vec_id", "v")
-    whole = cut(whole) if sweeps > 1 else whole
-    swept = []
-    for i in range(sweeps):
-        some = waiting.filter(F.pmod(F.xxhash64("key"), F.lit(sweeps)) == i).toArrow()
-        q = np.array(some["v"].to_pylist(), np.float32).reshape(some.num_rows, sizes["d"])
-        sent = spark.sparkContext.broadcast((some["key"].to_numpy(), q, some["floor"].to_numpy()))
-        swept.append(cut(whole.mapInArrow(_swept(sent, k + 1, longest), "query long, key long, vec_id long, score double")))
-        sent.destroy()
-    best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
-    pairs = reduce(DataFrame.unionByName, swept)
+    pairs = found
+    if exact:
+        # The floor of a query that found k + 1 vectors is the last one's score; the others have none.
+        top = found.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score")))).filter(F.col("r") <= k + 1)
+        floors = top.groupBy(F.col("query").alias("key")).agg(F.when(F.count("*") > k, F.min("score")).alias("floor"))
+        waiting = cut(each_asked.join(floors, "key", "left").select("key", "v", F.coalesce("floor", F.lit(float("-inf"))).alias("floor")))
+        sweeps = max(1, -(-waiting.count() * sizes["d"] // SENT))
+        whole = dealt.filter("own").repartition("list", "salt").sortWithinPartitions("list").select("list", "key", "v")
+        whole = cut(whole) if sweeps > 1 else whole
+        swept = []
+        for i in range(sweeps):
+            some = waiting.filter(F.pmod(F.xxhash64("key"), F.lit(sweeps)) == i).toArrow()
+            q = np.array(some["v"].to_pylist(), np.float64).reshape(some.num_rows, sizes["d"])
+            sent = spark.sparkContext.broadcast((some["key"].to_numpy(), q, some["floor"].to_numpy()))
+            swept.append(cut(whole.mapInArrow(_swept(sent, k + 1, longest), "query long, key long, score double")))
+            sent.destroy()
+        pairs = reduce(DataFrame.unionByName, swept)
+    best = Window.partitionBy("query").orderBy(F.desc("score"), "key")
     first = pairs.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k + 1).select("query", "key", "score")
-    ids = first.join(few.select("key", F.col("vec_id")), "key").withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k + 1).select("query", "vec_id", "score")
-    each = asked.select(F.col("vec_id").alias("query_id"), F.col("key").alias("query")).distinct().join(ids, "query").filter("vec_id <> query_id")
+    each = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
+    ids = first.join(few.select("key", "vec_id"), "key").withColumn("r", F.row_number().over(each)).filter(F.col("r") <= k + 1).select("query", "vec_id", "score")
+    names = asked.join(each_asked.select(F.col("key").alias("query"), "v"), "v").select(F.col("vec_id").alias("query_id"), "query")
+    out = names.join(ids, "query").filter("vec_id <> query_id")
     last = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return each.withColumn("rank", F.row_number().over(last)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return out.withColumn("rank", F.row_number().over(last)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

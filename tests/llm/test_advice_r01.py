@@ -40,6 +40,30 @@ def test_nearest_of_small_tight_groups(spark):
     assert _check_nearest(spark, x, 20, 15) == (0, 0)
 
 
+def test_nearest_of_norms_that_vary(spark):
+    """Over 200 lists, more than a search reads, keeps or enters by; norms log-normal."""
+    rng = np.random.default_rng(7)
+    x = (_unit(rng.normal(size=(20_000, 48))) * rng.lognormal(sigma=0.7, size=(20_000, 1))).astype(np.float32)
+    assert len(x) // ann.LIST > 200 > max(ann.PROBES, ann.KEPT, ann.ENTRIES)
+    assert _check_nearest(spark, x, 20, 100) == (0, 0)
+
+
+def test_nearest_ties_by_id(spark):
+    rows = [(0, [1.0, 0.0])] + [(100 + j, [1.0, float(j)]) for j in range(1, 201)]
+    for kind in ("float", "double"):
+        df = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>")
+        for exact in (True, False):
+            got = ann.nearest(df, df.filter("vec_id = 0"), 5, exact).orderBy("rank").collect()
+            assert [r["vec_id"] for r in got] == [101, 102, 103, 104, 105] or not exact and len(got) == 5
+
+
+def test_nearest_of_doubles(spark):
+    a = 1.0 + 2.0**-40
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [a, 0.0]), (3, [a, 0.0]), (4, [2.0, 0.0]), (4, [0.5, 0.0])], "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in ann.nearest(df, df.filter("vec_id = 1"), 9).orderBy("rank").collect()]
+    assert got == [(1, 1, 3, a), (1, 2, 2, 1.0), (1, 3, 4, 0.5)]
+
+
 def _texts(spark, bodies):
     rows = [(i, "http://a.org/", f"<html><body><nav>Home {i}</nav>{b}</body></html>") for i, b in enumerate(bodies)]
     return [r["text"] for r in html.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).orderBy("page_id").collect()]
