@@ -4,8 +4,12 @@ A page is a sequence of tokens: its elements, named by their path, and its text
 host that occur the same number of times on the same pages (equal occurrence vectors) form an equivalence class. A vector is
 held as counts and a combined hash of (page, count), so classes come from one aggregation by (host, token). Pages of a host with the
 same content are one page. A class is valid if it spans enough pages, and holds text in one of its own elements. Valid classes are the
-host's template. Text outside it fills the template's slots. The slots of the article are those that its
-markup names; where none does, they are all that the markup does not name as beside it.
+host's template. Text outside it fills the template's slots, one for each path of a block element.
+
+The slot that holds most of a host's varying text is the article's main one. If the markup names an element around it as the article, the article is
+what that element holds; else it is the main slot, what lies in elements for text (paragraphs, headings, lists, tables), and other
+slots that hold a fair share. Names decide on pages without the host's main slot, and on hosts of too few pages. What the markup names as beside
+the article is in no slot.
 """
 
 from __future__ import annotations
@@ -13,7 +17,8 @@ from __future__ import annotations
 import html as entities
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Set
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,14 +27,17 @@ from pyspark.sql import functions as F
 from edittide.llm import hosts
 from edittide.llm.common import cut
 
-#: Pages that a class must span; template rows that are sent to all workers at most.
-PAGES, SENT = 3, 500_000
+#: Pages that a class must span; template rows that are sent to all workers at most; pages of a host that a task extracts beyond that.
+PAGES, SENT, TURN = 3, 500_000, 4096
+#: Elements above a text that its nesting is looked for in; share of the varying text below which a bare text in no element for text is no article's.
+ABOVE, BARE = 32, 0.1
 
 #: Fixed values of HTML: elements that end a block, that hold no content of their own, that are empty, and that an opening tag closes.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 DROPPED = frozenset("head title nav footer aside form button select option menu dialog iframe object svg canvas template noscript".split())
 RAW = "script|style|noscript|template|iframe|textarea|svg"
+FLOW = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th blockquote pre figcaption caption".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr"}, "tbody": {"thead", "tr"}, "tfoot": {"tbody", "tr"}}
 #: What names an element as the article or as something beside it, in class, id or role.
 ARTICLE = re.compile(r"(?:^|[\s_-])(?:article|articlebody|article-body|post-content|entry-content|main-content|main)(?:$|[\s_-])")
@@ -60,75 +68,110 @@ def _role(tag: str, attributes: str) -> tuple[str, str]:
     return name, ""
 
 
-def parse(text: str) -> tuple[list[str], list[tuple[str, str, str]]]:
-    """Paths of the elements in page order, and blocks (path, role, text). A block's role is the nearest ancestor's that has one."""
-    paths: list[str] = []
-    blocks: list[tuple[str, str, str]] = []
-    stack: list[tuple[str, str, str]] = [("", "", "")]  # tag, path, role
+class Block(NamedTuple):
+    """A text block: its role (its nearest ancestor's that has one), its text, the hashes of its path and slot, whether an element for text holds it,
+    and the nearest elements above it."""
+
+    role: str
+    text: str
+    path: int
+    slot: int
+    flow: bool
+    above: list[int]
+
+    @property
+    def token(self) -> int:
+        return _hash(f"{self.path}\0{self.text}")
+
+
+def parse(text: str) -> tuple[Counter, list[Block]]:
+    """Counts of the elements' paths, and the blocks in page order. A path is a hash of the path above and the element's name, so depth costs nothing."""
+    elements: Counter = Counter()
+    blocks: list[Block] = []
+    stack: list[tuple] = [("", 0, "", False, 0, False)]  # tag, path, role, inside the article, slot, element for text
+    open_: Counter = Counter()
+    known: dict[tuple[int, str], int] = {}
     run: list[str] = []
-    state = ["", ""]
+    state: list[tuple] = []
 
     def end() -> None:
         if run:
-            words = " ".join(entities.unescape("".join(run)).split())
+            words = " ".join("".join(run).split())
             if words:
-                blocks.append((state[0], state[1], words))
+                (_, path, role, _, slot, flow), above = state
+                blocks.append(Block(role, words, path, slot, flow, above))
             run.clear()
 
-    def put(raw: str) -> None:
+    def put(piece: str) -> None:
         if not run:
-            state[:] = stack[-1][1:]
-        run.append(raw)
+            state[:] = stack[-1], [s[1] for s in stack[-ABOVE:]]
+        run.append(piece)
+
+    def pop(n: int) -> None:
+        for s in stack[n:]:
+            open_[s[0]] -= 1
+        del stack[n:]
+
+    def last(tag: str) -> int:
+        return next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag)
 
     at = 0
     for m in _TOKEN.finditer(text):
         if m.start() > at:
-            put(text[at : m.start()])
+            put(entities.unescape(text[at : m.start()]))
         at = m.end()
         tag = m[3]
         if not tag:
             continue
         tag = tag.lower()
         if m[2]:
-            if any(s[0] == tag for s in stack):
+            if open_[tag]:
                 if tag in BLOCKS:
                     end()
-                while stack[-1][0] != tag:
-                    stack.pop()
-                stack.pop()
+                pop(last(tag))
             elif tag in BLOCKS:
                 end()
             continue
         if tag == "br":
             put(" ")
             continue
-        role = _role(tag, m[4] or "")
-        if tag in BLOCKS or role[1]:
+        name, role = _role(tag, m[4] or "")
+        if tag in BLOCKS or role:
             end()
         if tag in VOID:
             continue
-        if tag in BLOCKS:
-            open_ = [s[0] for s in stack]
-            if "p" in open_ and not {"button", "object"} & set(open_[open_.index("p") :]):
-                del stack[len(open_) - 1 - open_[::-1].index("p") :]
+        if tag in BLOCKS and open_["p"]:
+            p = last("p")
+            if not (open_["button"] or open_["object"]) or not {"button", "object"} & {s[0] for s in stack[p:]}:
+                pop(p)
         if tag in CLOSES:
             while stack[-1][0] in CLOSES[tag]:
-                stack.pop()
-        if role[1] == "main" and tag in ("article", "main") and any(s[0] == "head" for s in stack):
-            del stack[next(i for i, s in enumerate(stack) if s[0] == "head") :]
-        if tag == "header" and not role[1]:
-            role = (role[0], "" if any(s[2] == "main" for s in stack) else "beside")
+                pop(len(stack) - 1)
+        if tag in ("article", "main") and open_["head"]:
+            pop(next(i for i, s in enumerate(stack) if s[0] == "head"))
+        _, above, inherited, inside, slot, flow = stack[-1]
+        if tag == "header" and role != "main" and not BESIDE.search(name):
+            role = "" if inside else "beside"
         if tag == "body":
-            stack = [s for s in stack if s[0] in ("", "html")]
-        path = f"{stack[-1][1]}/{role[0]}"
-        paths.append(path)
+            kept = [s for s in stack if s[0] in ("", "html")]
+            pop(1)
+            stack += kept[1:]
+            open_.update(s[0] for s in kept[1:])
+            _, above, inherited, inside, slot, flow = stack[-1]
+        path = known.get((above, name))
+        if path is None:
+            path = known[above, name] = _hash(f"{above}/{name}")
+        elements[path] += 1
         if m[4] and m[4].endswith("/") and tag not in BLOCKS:
             continue
-        stack.append((tag, path, role[1] or stack[-1][2]))
+        if tag in BLOCKS:
+            slot, flow = path, flow or tag in FLOW
+        stack.append((tag, path, role or inherited, inside or role == "main", slot, flow))
+        open_[tag] += 1
     if at < len(text):
-        put(text[at:])
+        put(entities.unescape(text[at:]))
     end()
-    return paths, blocks
+    return elements, blocks
 
 
 def _hash(text: str) -> int:
@@ -138,86 +181,142 @@ def _hash(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-_ROW = pa.struct([("kind", pa.int32()), ("token", pa.int64()), ("n", pa.int64()), ("above", pa.list_(pa.int64()))])
-_TOKENS = "host string, content long, tokens array<struct<kind int, token long, n long, above array<long>>>"
+_ROW = pa.struct([("kind", pa.int32()), ("token", pa.int64()), ("n", pa.int64()), ("chars", pa.int64()), ("slot", pa.int64()), ("above", pa.list_(pa.int64()))])
+_TOKENS = "host string, content long, tokens array<struct<kind int, token long, n long, chars long, slot long, above array<long>>>"
 _TOKENS_ARROW = pa.schema([("host", pa.string()), ("content", pa.int64()), ("tokens", pa.list_(_ROW))])
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per host and distinct content of a batch: the tokens with their counts. kind 0: element, 1: text block, with the elements above it.
+    """Per host and distinct content of a batch the tokens with their counts. kind 0: element, 1: text block, with the elements above it, 2: slot,
+    with the characters in it that are not beside the article; slot 0 stands for the page.
 
     content: hash of the text outside parts that are named as beside; pages that differ in nothing else are copies and count once.
     """
     for b in batches:
         seen: set[tuple[str, int]] = set()
-        known: dict[str, list[int]] = {}
         rows = []
-
-        def above(path: str) -> list[int]:
-            if path not in known:
-                known[path] = [_hash(f"{path[:i]}\0") for i in range(1, len(path) + 1) if i == len(path) or path[i] == "/"]
-            return known[path]
-
         for host, html in zip(*(c.to_pylist() for c in b.columns)):
-            paths, blocks = parse(html or "")
-            content = _hash("\n".join(t for _, role, t in blocks if role != "beside"))
+            elements, blocks = parse(html or "")
+            content = _hash("\n".join(x.text for x in blocks if x.role != "beside"))
             if (host, content) in seen:
                 continue
             seen.add((host, content))
-            counts = Counter((0, p, "") for p in paths)
-            counts.update((1, p, t) for p, _, t in blocks)
-            rows.append((host, content, [(kind, _hash(f"{p}\0{t}") if kind else above(p)[-1], n, above(p) if kind else None) for (kind, p, t), n in counts.items()]))
+            texts = {x.token: x for x in blocks}
+            counts, slots = Counter(x.token for x in blocks), Counter({0: 0})
+            for x in blocks:
+                if x.role != "beside":
+                    slots[x.slot] += len(x.text)
+                    slots[0] += len(x.text)
+            tokens = [(0, t, n, None, None, None) for t, n in elements.items()]
+            tokens += [(1, t, counts[t], 0 if x.role == "beside" else len(x.text), x.slot, x.above) for t, x in texts.items()]
+            rows.append((host, content, tokens + [(2, t, n, None, None, None) for t, n in slots.items()]))
         yield pa.RecordBatch.from_arrays([pa.array(list(c), t.type) for c, t in zip(zip(*rows), _TOKENS_ARROW)] if rows else [pa.array([], t.type) for t in _TOKENS_ARROW], schema=_TOKENS_ARROW)
 
 
-def templates(pages: DataFrame) -> DataFrame:
-    """Per host of `pages` (host, page_id, html) that has any: constant (tokens of text blocks of the template)."""
+def templates(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of `pages` (host, page_id, html): (host, token) of the text blocks of templates; (host, slot, main) of hosts of PAGES different pages.
+
+    The second has the slot with the most varying text (main) and others that hold a share of BARE at least.
+    """
     distinct = pages.select("host", "html").mapInArrow(_tokens, _TOKENS).dropDuplicates(["host", "content"])
     found = distinct.select("host", "content", F.inline("tokens"))
     vector = ("pages", "n", "sig")
-    counted = F.count("*").alias("pages"), F.sum("n").alias("n"), F.bit_xor(F.xxhash64("content", "n")).alias("sig"), F.first("above").alias("above")
-    wide = cut(found.groupBy("host", "kind", "token").agg(*counted).filter(F.col("pages") >= PAGES))
+    counted = F.count("*").alias("pages"), F.sum("n").alias("n"), F.bit_xor(F.xxhash64("content", "n")).alias("sig"), F.first("chars").alias("chars"), F.first("slot").alias("slot"), F.first("above").alias("above")
+    wide = cut(found.groupBy("host", "kind", "token").agg(*counted).filter((F.col("pages") >= PAGES) | (F.col("kind") == 2)))
     # Nesting: a text of the template lies in an element of its own class, which has at least these two tokens then.
     elements = wide.filter("kind = 0").select("host", F.col("token").alias("element"), *vector)
-    texts = wide.filter("kind = 1").select("host", "token", *vector, F.explode("above").alias("element"))
-    kept = texts.join(elements, ["host", "element", *vector], "left_semi")
-    return kept.groupBy("host").agg(F.collect_set("token").alias("constant"))
+    texts = wide.filter("kind = 1").select("host", "token", "chars", "slot", *vector, F.explode("above").alias("element"))
+    kept = cut(texts.join(elements, ["host", "element", *vector], "left_semi").select("host", "token", "slot", (F.col("chars") * F.col("n")).alias("chars")).distinct())
+    fixed = kept.groupBy("host", "slot").agg(F.sum("chars").alias("fixed"))
+    whole = kept.groupBy("host").agg(F.sum("chars").alias("fixed")).withColumn("slot", F.lit(0).cast("long"))
+    slots = wide.filter("kind = 2").select("host", F.col("token").alias("slot"), "n", "pages")
+    slots = slots.join(fixed.unionByName(whole), ["host", "slot"], "left").withColumn("chars", F.col("n") - F.coalesce("fixed", F.lit(0)))
+    page = slots.filter("slot = 0").select("host", "pages", F.col("chars").alias("all")).filter((F.col("pages") >= PAGES) & (F.col("all") > 0))
+    most = slots.filter("slot <> 0").groupBy("host").agg(F.max_by("slot", F.struct("chars", "slot")).alias("top"))
+    fair = slots.filter("slot <> 0").select("host", "slot", "chars").join(page, "host").join(most, "host").withColumn("main", F.col("slot") == F.col("top"))
+    return kept.select("host", "token"), fair.filter(F.col("main") | (F.col("chars") >= F.col("all") * BARE)).select("host", "slot", "main")
+
+
+def article(html: str, constant: Set[int], main: int | None, fair: Set[int] = frozenset()) -> str:
+    """The article's blocks outside the template, one a line. main, fair: the host's main slot and others with a fair share, if known."""
+    _, blocks = parse(html)
+    blocks = [x for x in blocks if x.role != "beside" and x.token not in constant]
+    chars: Counter = Counter()
+    for x in blocks:
+        chars[x.slot] += len(x.text)
+    if main in chars:
+        named = any(x.role == "main" for x in blocks if x.slot == main)
+    else:
+        named = any(x.role == "main" for x in blocks)
+        main = max(chars, key=chars.__getitem__, default=None)
+        fair = {s for s, n in chars.items() if n >= BARE * sum(chars.values())}
+    return "\n".join(x.text for x in blocks if (x.role == "main" if named else x.flow or x.slot == main or x.slot in fair))
 
 
-def article(html: str, constant: set[int]) -> str:
-    """The blocks of the article's slots outside the template, one a line."""
-    _, blocks = parse(html)
-    slot = "main" if any(role == "main" for _, role, _ in blocks) else ""
-    return "\n".join(t for p, role, t in blocks if role == slot and _hash(f"{p}\0{t}") not in constant)
+def _answer(pages: list, urls: list, texts: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(pages, pa.int64()), pa.array(urls, pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 
 def _extracted(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = sent.value if sent is not None else None
+        constants, mains, fairs = sent.value
         for b in batches:
-            cols = [c.to_pylist() for c in b.columns]
-            rows = zip(*cols)
-            texts = []
-            for host, _, _, html, *more in rows:
-                constant = known.get(host, frozenset()) if known is not None else set(more[0] or ())
-                texts.append(article(html or "", constant))
-            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+            hosts_, pages, urls, htmls = (c.to_pylist() for c in b.columns)
+            yield _answer(pages, urls, [article(t or "", constants.get(h, frozenset()), mains.get(h), fairs.get(h, frozenset())) for h, t in zip(hosts_, htmls)])
 
     return run
 
 
+def _extracted_by_turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (host, turn, kind, token, page_id, url, html) sorted by (host, turn, kind): the host's template (kind 0: tokens, 1: main slot, 2: other
+    slots with a fair share), then pages."""
+    at, constant, main, fair = None, set(), None, set()
+    for b in batches:
+        pages, urls, texts = [], [], []
+        for host, turn, kind, token, page, url, html in zip(*(c.to_pylist() for c in b.columns)):
+            if (host, turn) != at:
+                at, constant, main, fair = (host, turn), set(), None, set()
+            if kind == 0:
+                constant.add(token)
+            elif kind == 1:
+                main = token
+            elif kind == 2:
+                fair.add(token)
+            else:
+                pages.append(page)
+                urls.append(url)
+                texts.append(article(html or "", constant, main, fair))
+        yield _answer(pages, urls, texts)
+
+
 def extracted(pages: DataFrame) -> DataFrame:
     """Per row of `pages` (page_id, url, html): page_id, url, text, n_chars.
 
     text: the article's blocks in page order, one a line, character references decoded and white space in a block as one space; empty for a
     null or empty html or if there is none. Pages without a host share the host ''. Templates of at most SENT tokens in all are sent to the
-    workers; more are joined to the pages by host.
+    workers; with more, a host's pages are dealt in turns of about TURN, and its template goes once to each turn.
     """
     out = "page_id long, url string, text string, n_chars long"
     rows = pages.select(hosts.host(F.col("url")).alias("host"), F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    found = cut(templates(rows))
-    size = found.agg(F.coalesce(F.sum(F.size("constant") + 1), F.lit(0))).first()[0]
-    if size <= SENT:
-        sent = pages.sparkSession.sparkContext.broadcast({r["host"]: frozenset(r["constant"]) for r in found.toLocalIterator()})
+    tokens, slots = (cut(df) for df in templates(rows))
+    if tokens.count() + slots.count() <= SENT:
+        constants: dict[str, set[int]] = {}
+        for r in tokens.toLocalIterator():
+            constants.setdefault(r["host"], set()).add(r["token"])
+        mains: dict[str, int] = {}
+        fairs: dict[str, set[int]] = {}
+        for r in slots.toLocalIterator():
+            if r["main"]:
+                mains[r["host"]] = r["slot"]
+            else:
+                fairs.setdefault(r["host"], set()).add(r["slot"])
+        sent = pages.sparkSession.sparkContext.broadcast((constants, mains, fairs))
         return rows.mapInArrow(_extracted(sent), out)
-    return rows.join(found, "host", "left").select("host", "page_id", "url", "html", "constant").mapInArrow(_extracted(None), out)
+    turns = cut(rows.groupBy("host").agg(F.ceil(F.count("*") / TURN).cast("int").alias("turns")))
+    none, zero = F.lit(None), F.lit(0)
+    each = tokens.select("host", F.lit(0).alias("kind"), "token").unionByName(slots.select("host", F.when(F.col("main"), 1).otherwise(2).alias("kind"), F.col("slot").alias("token")))
+    each = each.join(turns, "host").withColumn("turn", F.explode(F.sequence(zero, F.col("turns") - 1)))
+    each = each.select("host", "turn", "kind", "token", none.cast("long").alias("page_id"), none.cast("string").alias("url"), none.cast("string").alias("html"))
+    dealt = rows.join(turns, "host").withColumn("turn", F.pmod(F.xxhash64("page_id", "url"), F.col("turns")).cast("int"))
+    dealt = dealt.select("host", "turn", F.lit(3).alias("kind"), none.cast("long").alias("token"), "page_id", "url", "html")
+    return each.unionByName(dealt).repartition("host", "turn").sortWithinPartitions("host", "turn", "kind").mapInArrow(_extracted_by_turn, out)
