@@ -31,8 +31,16 @@ def action(version: Column, deleted: Column) -> Column:
     return F.when(v == 0, "delete").when(v == 1, "create").when(v > 1, "modify")
 
 
-def day(ts: Column) -> Column:
-    return F.date_format(ts, "yyyy-MM-dd")
+def utc_clock(ts: Column) -> Column:
+    """An instant as the time that clocks show in UTC (without a zone), whatever the session's zone."""
+    return F.timestamp_add("MICROSECOND", F.unix_micros(ts), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
+
+
+def day(ts: Column, zoned: bool = True) -> Column:
+    """UTC day as yyyy-MM-dd. `zoned`: ts is an instant; else it is UTC time without a zone."""
+    if zoned:
+        return F.date_from_unix_date(F.floor(F.unix_seconds(ts) / 86400).cast("int")).cast("string")
+    return ts.cast("date").cast("string")
 
 
 def is_poi(osm_type: Column, tags: Column, act: Column) -> Column:
@@ -132,7 +140,8 @@ def state_timestamp(text: Column) -> Column:
     plain = F.regexp_replace(text, r"\\:", ":")
     iso = F.regexp_extract(plain, r"timestamp=(\S+?)Z", 1)
     run = F.regexp_extract(plain, r"last_run: (\d{4}-\d\d-\d\d \d\d:\d\d:\d\d)", 1)
-    return F.coalesce(F.try_to_timestamp(iso, F.lit("yyyy-MM-dd'T'HH:mm:ss")), F.try_to_timestamp(run, F.lit("yyyy-MM-dd HH:mm:ss")))
+    utc = lambda text: F.concat(text, F.lit("+00:00"))
+    return F.coalesce(F.try_to_timestamp(utc(iso), F.lit("yyyy-MM-dd'T'HH:mm:ssXXX")), F.try_to_timestamp(utc(run), F.lit("yyyy-MM-dd HH:mm:ssXXX")))
 
 
 def state_sequence(text: Column) -> Column:
@@ -145,7 +154,8 @@ def parse_utc(text: Column) -> Column:
 
 
 def in_zone(ts: Column, zone: str) -> Column:
-    return F.from_utc_timestamp(ts, zone)
+    """An instant as the time that clocks show in a zone."""
+    return F.convert_timezone(F.lit("UTC"), F.lit(zone), utc_clock(ts))
 
 
 def add_known(a: Column, b: Column) -> Column:

@@ -13,13 +13,13 @@ from edittide.functions import geometry as G
 
 def keep(comment: Column, created_by: Column, user: Column, hashtags: Sequence[str], exact: bool, field_mappers: bool, users: Sequence[str]) -> Column:
     """Whether a changeset counts. Asking for field editors sets the hashtags and users aside."""
+    if field_mappers:
+        return F.coalesce(C.from_field_editor(created_by), F.lit(False))
     out = F.lit(True)
     if hashtags:
         out = C.hashtag_in(comment, hashtags) if exact else C.comment_contains(comment, hashtags)
-        if users:
-            out = out & F.coalesce(user.isin(*users), F.lit(False))
-    if field_mappers:
-        out = F.coalesce(C.from_field_editor(created_by), F.lit(False))
+    if users:
+        out = out & F.coalesce(user.isin(*users), F.lit(False))
     return out
 
 

@@ -3,16 +3,22 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from datetime import datetime
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def in_range(df: DataFrame, start: datetime | str | None, end: datetime | str | None, ts: str = "ts") -> DataFrame:
-    """Half-open [start, end). The literal takes the column's type, so the filter reaches the Parquet scan."""
+    """Half-open [start, end) in UTC. The literal takes the column's type, so the filter reaches the Parquet scan."""
     kind = df.schema[ts].dataType
-    bound = lambda t: F.lit(t.strftime("%Y-%m-%d %H:%M:%S.%f") if isinstance(t, datetime) else t).cast(kind)
+
+    def bound(t: datetime | str):
+        t = datetime.fromisoformat(t) if isinstance(t, str) else t
+        t = t.astimezone(timezone.utc) if t.tzinfo else t
+        return F.lit(t.strftime("%Y-%m-%d %H:%M:%S.%f") + ("+00:00" if isinstance(kind, T.TimestampType) else "")).cast(kind)
+
     if start is not None:
         df = df.filter(F.col(ts) >= bound(start))
     if end is not None:

@@ -49,11 +49,22 @@ def users_per(users: DataFrame, column: str, k: int, blanks: bool = False, item:
     return top(rows.select("item", "name").distinct().groupBy("item").agg(F.count("*").alias("users")), k, "users", "item")
 
 
+#: Parts that labels are dealt in before the largest are numbered.
+PARTS = 64
+
+
 def shares(df: DataFrame, k: int, label: str, value: str, rest: str = "Others") -> DataFrame:
-    """The k largest labels, all others as one, with percentages of the whole: (label, value, percent)."""
-    w = Window.orderBy(F.desc(value), F.asc(label))
-    kept = df.withColumn("_n", F.row_number().over(w))
-    merged = kept.groupBy(F.when(F.col("_n") <= k, F.col(label)).otherwise(F.lit(rest)).alias(label)).agg(F.sum(value).alias(value))
+    """The k largest labels, all others as one, with percentages of the whole: (label, value, percent).
+
+    Labels compete in PARTS parts by hash; the losers of a part are one row at once, so the last window has a bounded number of rows.
+    """
+    order = F.desc(value), F.asc(label)
+    parts = df.withColumn("_p", F.pmod(F.xxhash64(label), F.lit(PARTS)))
+    parts = parts.withColumn("_n", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
+    small = F.col("_n") > k
+    few = parts.groupBy(F.when(small, F.lit(None)).otherwise(F.col(label)).alias(label), small.alias("_s")).agg(F.sum(value).alias(value))
+    kept = few.withColumn("_n", F.row_number().over(Window.orderBy("_s", *order)))
+    merged = kept.groupBy(F.when(~F.col("_s") & (F.col("_n") <= k), F.col(label)).otherwise(F.lit(rest)).alias(label)).agg(F.sum(value).alias(value))
     return merged.withColumn("percent", F.round(100.0 * F.col(value) / F.sum(value).over(Window.partitionBy()), 6))
 
 

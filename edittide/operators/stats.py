@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from edittide.functions import columns as C
 from edittide.functions import geometry as G
@@ -14,7 +16,8 @@ from edittide.schema import ACTIONS, COUNTERS, KINDS
 
 def prepared(elements: DataFrame) -> DataFrame:
     """Elements with their action and UTC day."""
-    return elements.withColumns({"action": C.action(F.col("version"), F.col("deleted")), "day": C.day(F.col("ts"))})
+    zoned = isinstance(elements.schema["ts"].dataType, T.TimestampType)
+    return elements.withColumns({"action": C.action(F.col("version"), F.col("deleted")), "day": C.day(F.col("ts"), zoned)})
 
 
 def _counters() -> list[Column]:
@@ -75,22 +78,32 @@ def day_summary(elements: DataFrame, poi: bool = False, tags: Sequence[str] = ()
     return out.withColumnRenamed("day", "timestamp").withColumn("map_changes", C.map_changes())
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    """The rows as they are now, for plans that read them twice and must see the same partitions: in the checkpoint folder if the session has one,
+    else on the executors' disks."""
+    named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if named:
+        df.sparkSession.sparkContext.setCheckpointDir(named)
+        return df.checkpoint(eager=True)
+    return df.persist(StorageLevel.DISK_ONLY)
+
+
 def ranked(df: DataFrame, by: str = "map_changes", tie: str = "uid") -> DataFrame:
-    """Rank 1..n without ties, largest first.
+    """Rank 1..n without ties, largest first, `tie` ascending among equals.
 
-    The window has no partition and so one task; it is for results with one row per user. Over very
-    many users use `ranked_by_range`.
+    No task sees all rows: a range sort, row numbers in each partition, and the number of rows in the partitions before.
     """
-    return df.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(by), F.asc(tie))).cast("bigint"))
+    order = F.desc(by), F.asc(tie)
+    spread = _kept(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # over one row a partition
+    sizes = spread.groupBy("_p").agg(F.count("*").alias("_c")).select("_p", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_b"))
+    inside = spread.withColumn("_n", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
+    return inside.join(F.broadcast(sizes), "_p").withColumn("rank", (F.col("_n") + F.col("_b")).cast("bigint")).drop("_p", "_n", "_b")
 
 
-def ranked_by_range(df: DataFrame, by: str = "map_changes", tie: str = "uid") -> DataFrame:
-    """The same ranks without a single task: a range sort, row numbers in each partition and offsets by partition."""
-    spread = df.repartitionByRange(F.desc(by), F.asc(tie)).sortWithinPartitions(F.desc(by), F.asc(tie)).withColumns({"_p": F.spark_partition_id(), "_at": F.monotonically_increasing_id()})
-    spread = spread.withColumn("_n", F.col("_at") - F.shiftleft(F.col("_p").cast("bigint"), 33) + 1)
-    sizes = spread.groupBy("_p").agg(F.count("*").alias("_c"))
-    before = sizes.withColumn("_b", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return spread.join(F.broadcast(before.select("_p", "_b")), "_p").withColumn("rank", (F.col("_n") + F.col("_b")).cast("bigint")).drop("_p", "_at", "_n", "_b")
+def top_ranked(df: DataFrame, k: int, by: str = "map_changes", tie: str = "uid") -> DataFrame:
+    """The k first rows of `ranked`, found before they are numbered."""
+    return df.orderBy(F.desc(by), F.asc(tie)).limit(k).withColumn("rank", F.row_number().over(Window.orderBy(F.desc(by), F.asc(tie))).cast("bigint"))
 
 
 def tag_histogram(elements: DataFrame, by: str, key_value: bool = False) -> DataFrame:
@@ -111,16 +124,20 @@ def tag_maps(histogram: DataFrame, by: str) -> DataFrame:
 def way_lengths(elements: DataFrame, radius: float = G.EARTH_RADIUS) -> DataFrame:
     """Elements with `len`: metres of each new way whose nodes are all in its own file, else 0.
 
-    Ways are dealt by (file, node), joined with the nodes' last location in that file, and put
-    together again by their row key.
+    Only new ways are shuffled: dealt by (file, node), joined with the nodes' last location in that file, and put together again by file, id
+    and nodes, so ways that repeat are one there.
     """
-    e = elements.withColumn("_row", F.monotonically_increasing_id())
+    new = (F.col("osm_type") == "ways") & (F.col("version") == 1) & ~F.col("deleted") & (F.size("nds") > 1)
+    new = F.coalesce(new, F.lit(False))
+    key = ["source_file", "id", "_h"]
     nodes = elements.filter(F.col("osm_type") == "nodes").groupBy("source_file", F.col("id").alias("node")).agg(F.max_by(F.struct(F.col("lon").alias("x"), F.col("lat").alias("y")), F.struct("version", "ts")).alias("at"))
-    refs = e.filter((F.col("osm_type") == "ways") & (F.col("version") == 1) & ~F.col("deleted")).select("_row", "source_file", F.posexplode("nds").alias("pos", "node"))
-    placed = refs.join(nodes, ["source_file", "node"], "left")
-    whole = placed.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("pos", "at"))).alias("p"), F.bool_and(F.col("at.x").isNotNull() & F.col("at.y").isNotNull()).alias("whole"))
-    lengths = whole.select("_row", F.when(F.col("whole"), G.path_length(F.transform("p", lambda v: v["at"]), radius)).otherwise(F.lit(0.0)).alias("len"))
-    return e.join(lengths, "_row", "left").withColumn("len", F.coalesce("len", F.lit(0.0))).drop("_row")
+    ways = elements.filter(new).withColumn("_h", F.xxhash64("nds"))
+    refs = ways.select(*key, F.posexplode("nds").alias("pos", "node")).distinct()
+    placed = refs.join(nodes, ["source_file", "node"], "left").groupBy(*key)
+    whole = placed.agg(F.array_sort(F.collect_list(F.struct("pos", "at"))).alias("p"), F.bool_and(F.col("at.x").isNotNull() & F.col("at.y").isNotNull()).alias("whole"))
+    lengths = whole.select(*key, F.when(F.col("whole"), G.path_length(F.transform("p", lambda v: v["at"]), radius)).otherwise(F.lit(0.0)).alias("len"))
+    measured = ways.join(lengths, key, "left").withColumn("len", F.coalesce("len", F.lit(0.0))).drop("_h")
+    return elements.filter(~new).withColumn("len", F.lit(0.0)).unionByName(measured)
 
 
 def user_sets(elements: DataFrame, described: DataFrame) -> DataFrame:

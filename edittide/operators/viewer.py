@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,5 +34,10 @@ def extent(df: DataFrame, column: str) -> DataFrame:
     return df.agg(F.min(column).alias("low"), F.max(column).alias("high"))
 
 
+def project(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The chosen columns in the order asked for; an unknown one raises."""
+    return df.select(*columns)
+
+
 def sort(df: DataFrame, column: str, ascending: bool = True) -> DataFrame:
     return df.orderBy(F.asc(column) if ascending else F.desc(column))

@@ -60,11 +60,6 @@ def user_stats(spark, d):
     return stats.ranked(stats.user_stats(V.elements(spark, d)))
 
 
-@query(f"SELECT *, {_RANK} AS rank FROM ({_users()})")
-def user_stats_range_ranked(spark, d):
-    return stats.ranked_by_range(stats.user_stats(V.elements(spark, d)))
-
-
 @query(f"{_days()} ORDER BY timestamp")
 def day_summary(spark, d):
     return stats.day_summary(V.elements(spark, d)).orderBy("timestamp")
@@ -190,6 +185,13 @@ def boundary_filter(spark, d):
     return CS.select_changesets(V.changesets(spark, d), boundary=G.rings_literal(_BOX)).select("id", "lon", "lat")
 
 
+@query(_users("changeset IN (SELECT id FROM changesets WHERE lon > -20.5 AND lon < 60 AND lat > -40 AND lat < 30.5 AND name IN ('Customer#000000001', 'Customer#000000007', 'Customer#000000011'))"))
+def boundary_users_filter(spark, d):
+    """Names count with a boundary, too."""
+    cs = CS.select_changesets(V.changesets(spark, d), users=("Customer#000000001", "Customer#000000007", "Customer#000000011"), boundary=G.rings_literal(_BOX))
+    return stats.user_stats(filters.selected(V.elements(spark, d), cs, (), True))
+
+
 @query("SELECT id, country FROM changesets JOIN boundaries ON lon BETWEEN x0 AND x1")
 def country_join(spark, d):
     return CS.with_countries(V.changesets(spark, d), V.boundaries(spark, d)).select("id", "country")
@@ -284,7 +286,7 @@ def trending_countries(spark, d):
 
 @query(f"SELECT * FROM (SELECT *, {_RANK} AS rank FROM ({_users()})) WHERE rank <= 50")
 def top_rows(spark, d):
-    return report.top(stats.ranked(stats.user_stats(V.elements(spark, d))), 50, "map_changes", "uid")
+    return stats.top_ranked(stats.user_stats(V.elements(spark, d)), 50)
 
 
 @query(f"SELECT name, changesets, map_changes, {_BY_ACTION} FROM ({_users()}) ORDER BY map_changes DESC, uid LIMIT 25")
@@ -329,6 +331,12 @@ def tm_rollup(spark, d):
     return tm.rollup(V.contributions(spark, d))
 
 
+@query("SELECT c.* FROM contributions c WHERE name IN (SELECT name FROM elements WHERE ts < TIMESTAMP '1992-06-01 00:00:00')")
+def tm_contributors(spark, d):
+    """Contributions of the users that have elements in a range."""
+    return tm.of_users(V.contributions(spark, d), filters.in_range(V.elements(spark, d), None, "1992-06-01 00:00:00").select(F.col("user").alias("name")))
+
+
 _TM_USERS = f""", asked AS (SELECT DISTINCT name, CAST(id % 50 AS VARCHAR) AS tm_projects FROM changesets WHERE id IN (SELECT changeset FROM elements)),
 mine AS (SELECT name, string_agg(tm_projects, ',' ORDER BY tm_projects) AS tm_projects, min(tm_mapping_level) AS tm_mapping_level,
   CAST(coalesce(sum(tasks_mapped), 0) AS BIGINT) AS tasks_mapped, CAST(coalesce(sum(tasks_validated), 0) AS BIGINT) AS tasks_validated, CAST(coalesce(sum(tasks_total), 0) AS BIGINT) AS tasks_total
@@ -336,7 +344,7 @@ mine AS (SELECT name, string_agg(tm_projects, ',' ORDER BY tm_projects) AS tm_pr
 
 
 def _with_tm(spark, d):
-    return tm.with_contributions(_named_sets(spark, d).select("uid", "name", "hashtags"), tm.of_users(V.contributions(spark, d), _named_sets(spark, d)))
+    return tm.with_contributions(_named_sets(spark, d).select("uid", "name", "hashtags"), V.contributions(spark, d))
 
 
 @query(f"{_TM_USERS} SELECT uid, mine.* FROM mine JOIN (SELECT DISTINCT uid, name FROM elements) USING (name)")
@@ -375,7 +383,7 @@ _USER_NUMBERS = ("changesets", *COUNTERS, "size_create", "map_changes")
 @query(f"SELECT *, {_RANK} AS rank FROM (SELECT {_added('uid', (*_USER_NUMBERS, 'size_modify', 'promo_create', 'promo_modify'))}, coalesce(a.name, b.name) AS name FROM ({_users(_OLD, _TAGS)}) a FULL JOIN ({_users(_NEW, _TAGS)}) b ON a.uid = b.uid)")
 def merge_user_stats(spark, d):
     old, new = (stats.user_stats(h, tags=("size", "promo")) for h in _halves(spark, d, tags=True))
-    return stats.ranked(incremental.merge(stats.ranked(old), stats.ranked(new), "uid"))
+    return stats.ranked(incremental.merge(old, new, "uid"))
 
 
 @query(f"SELECT {_added('timestamp', ('users', 'changesets', *COUNTERS, 'map_changes'))} FROM ({_days("ts < TIMESTAMP '1998-06-20 00:00:00'")}) a FULL JOIN ({_days(_NEW)}) b ON a.timestamp = b.timestamp")
@@ -431,6 +439,24 @@ def zone_and_minutes(spark, d):
     return V.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.date_format(C.in_zone(at, "Asia/Kathmandu"), "yyyy-MM-dd HH:mm").alias("day"), C.minutes_between(at, F.lit("1998-01-01 00:00:00").cast("timestamp")).alias("minutes"))
 
 
+@query("SELECT event_id, strftime(make_timestamp((1700000000 + event_id * 7919) * 1000000), '%Y-%m-%d') AS day FROM events")
+def utc_days(spark, d):
+    """Instants as UTC days, whatever the session's zone."""
+    return V.table(spark, d, "events").select("event_id", C.day(F.timestamp_seconds(F.lit(1700000000) + F.col("event_id") * 7919)).alias("day"))
+
+
+_HAVERSINE = f"{2 * G.EARTH_RADIUS!r} * asin(sqrt(pow(sin(radians(lat - plat) / 2), 2) + cos(radians(lat)) * cos(radians(plat)) * pow(sin(radians(lon - plon) / 2), 2)))"
+
+
+@query(
+    f"""SELECT c_custkey AS id, round(CASE WHEN c_custkey % 5 = 0 OR c_custkey % 11 = 0 THEN 0.0 ELSE coalesce(m, 0.0) END, 2) AS metres FROM customer LEFT JOIN (
+  SELECT uid, sum({_HAVERSINE}) AS m FROM (SELECT uid, lon, lat, lag(lon) OVER w AS plon, lag(lat) OVER w AS plat FROM changesets WINDOW w AS (PARTITION BY uid ORDER BY id)) GROUP BY uid) ON uid = c_custkey"""
+)
+def way_lengths(spark, d):
+    """Lengths of ways from the nodes of their own files; ways of later versions or with missing nodes have none."""
+    return stats.way_lengths(V.ways_and_nodes(spark, d)).filter("osm_type = 'ways'").select("id", F.round("len", 2).alias("metres"))
+
+
 @query(f"SELECT id, round({2 * G.EARTH_RADIUS!r} * asin(sqrt(pow(sin(radians(0.01) / 2), 2) + cos(radians(lat)) * cos(radians(lat + 0.01)) * pow(sin(radians(0.02) / 2), 2))), 3) AS metres FROM changesets")
 def haversine_length(spark, d):
     point = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
@@ -466,6 +492,11 @@ def viewer_minmax(spark, d):
     return viewer.extent(V.table(spark, d, "events"), "value")
 
 
+@query("SELECT user_id, event_id FROM events")
+def viewer_project(spark, d):
+    return viewer.project(V.table(spark, d, "events"), ("user_id", "event_id"))
+
+
 @query("SELECT event_id, value FROM events ORDER BY value DESC")
 def viewer_sort(spark, d):
     return viewer.sort(V.table(spark, d, "events"), "value", ascending=False).select("event_id", "value")

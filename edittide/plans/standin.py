@@ -58,6 +58,19 @@ def boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "region").select(F.col("r_name").alias("name"), F.array(ring).alias("rings"))
 
 
+def ways_and_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as nodes and customers as ways through their orders; a fifth of the ways is modified, and an eleventh names a node that is nowhere."""
+    nodes = changesets(spark, sf_dir).join(table(spark, sf_dir, "customer").select(F.col("c_name").alias("user"), F.col("c_custkey").alias("cust")), "user")
+    file, none = F.concat(F.lit("f"), (F.col("cust") % 7).cast("string")).alias("source_file"), F.lit(None)
+    points = nodes.select(F.lit("nodes").alias("osm_type"), "id", F.lit(1).alias("version"), F.lit(False).alias("deleted"), F.col("created_at").alias("ts"), "lat", "lon", none.cast("array<bigint>").alias("nds"), file)
+    key = F.col("c_custkey")
+    made = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list("o_orderkey")).alias("all"))
+    ways = table(spark, sf_dir, "customer").join(made, key == F.col("o_custkey"), "left").withColumn("cust", key)
+    missing = F.when(key % 11 == 0, F.array(F.lit(-1).cast("bigint"))).otherwise(F.array().cast("array<bigint>"))
+    lines = ways.select(F.lit("ways").alias("osm_type"), key.alias("id"), F.when(key % 5 == 0, 2).otherwise(1).alias("version"), F.lit(False).alias("deleted"), none.cast("timestamp_ntz").alias("ts"), none.cast("double").alias("lat"), none.cast("double").alias("lon"), F.concat("all", missing).alias("nds"), file)
+    return points.unionByName(lines)
+
+
 def contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     level = F.when(F.col("c_acctbal") > 5000, "ADVANCED").otherwise("BEGINNER")

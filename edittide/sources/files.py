@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,30 +40,24 @@ def change_files(spark: SparkSession, paths: str | Sequence[str], strict: bool =
     parts = []
     for action in ("create", "modify", "delete"):
         blocks = _xml(spark, paths, action, _BLOCK, strict)
-        for name, kind in _KINDS:
-            e = blocks.select("source_file", F.explode(name).alias("e"))
-            at = (F.col("e._lat"), F.col("e._lon")) if name == "node" else (F.lit(None), F.lit(None))
-            nodes = F.transform("e.nd", lambda n: n["_ref"]) if name == "way" else F.lit(None)
-            cells = {
-                "osm_type": F.lit(kind),
-                "id": F.col("e._id"),
-                "version": F.col("e._version"),
-                "deleted": F.lit(action == "delete"),
-                "ts": F.col("e._timestamp"),
-                "uid": F.col("e._uid"),
-                "user": F.col("e._user"),
-                "changeset": F.col("e._changeset"),
-                "lat": at[0],
-                "lon": at[1],
-                "tags": _tags(F.col("e.tag")),
-                "nds": nodes,
-                "source_file": F.col("source_file"),
-            }
-            parts.append(e.select(*[cells[f.name].cast(f.dataType).alias(f.name) for f in ELEMENTS.fields]))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        # one array of all kinds, so that a block is parsed once
+        e = blocks.select("source_file", F.explode(F.concat(*[F.coalesce(_alike(name, kind), F.array()) for name, kind in _KINDS])).alias("e"))
+        cells = {f.name: F.col(f"e.{f.name}") for f in ELEMENTS.fields if f.name not in ("deleted", "tags", "source_file")}
+        cells |= {"deleted": F.lit(action == "delete"), "tags": _tags(F.col("e.tag")), "source_file": F.col("source_file")}
+        parts.append(e.select(*[cells[f.name].cast(f.dataType).alias(f.name) for f in ELEMENTS.fields]))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _alike(name: str, kind: str) -> Column:
+    """The elements of a kind as structs that are the same for all kinds."""
+
+    def cells(e: Column) -> Column:
+        at = [e["_lat"], e["_lon"]] if name == "node" else [F.lit(None).cast("double")] * 2
+        nodes = F.transform(e["nd"], lambda n: n["_ref"]) if name == "way" else F.lit(None).cast("array<bigint>")
+        own = {"id": "_id", "version": "_version", "ts": "_timestamp", "uid": "_uid", "user": "_user", "changeset": "_changeset", "tag": "tag"}
+        return F.struct(F.lit(kind).alias("osm_type"), *[e[x].alias(n) for n, x in own.items()], at[0].alias("lat"), at[1].alias("lon"), nodes.alias("nds"))
+
+    return F.transform(name, cells)
 
 
 def unreadable(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
@@ -107,8 +102,20 @@ def boundary(spark: SparkSession, text_or_path: str) -> Column:
 
 
 def stats_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """An earlier result. Dotted names (nodes.create) of exported files are mapped by position of the header names."""
-    return spark.read.csv(path, header=True, schema=schema, multiLine=True, escape='"', enforceSchema=True)
+    """An earlier result in the columns of `schema`, matched by name in any order; dots of exported names (nodes.create) stand for underscores. A
+    column that the file lacks is NULL, one that the schema lacks is left out; a cell that is no such value raises."""
+    schema = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
+    rows = spark.read.csv(path, header=True, inferSchema=False, multiLine=True, escape='"')
+    known = {c.replace(".", "_"): c for c in rows.columns}
+    cell = lambda f: F.col(f"`{known[f.name]}`") if f.name in known else F.lit(None)
+    return rows.select(*[cell(f).cast(f.dataType).alias(f.name) for f in schema.fields])
+
+
+def table_csv(spark: SparkSession, path_or_url: str) -> DataFrame:
+    """A finished table for the viewer, by path or address (a code host's page of a file counts as the file); types are inferred."""
+    if "github.com" in path_or_url and "/blob/" in path_or_url:
+        path_or_url = path_or_url.replace("github.com", "raw.githubusercontent.com").replace("/blob/", "/")
+    return spark.read.csv(path_or_url, header=True, inferSchema=True, multiLine=True, escape='"')
 
 
 def contributions(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:

@@ -50,22 +50,23 @@ def changeset_sequence(at: datetime, newest: int, newest_at: datetime) -> int:
     return min(newest, newest + _minutes(at - newest_at))
 
 
+#: Minutes of changeset files that are read beyond a range on each side; the exact filter comes later.
+CHANGESET_PAD = 60
+
+
 def changeset_sequences(start: datetime, end: datetime | None, newest: int, newest_at: datetime, time_of: Callable[[int], datetime]) -> range:
-    """Sequence numbers of changeset files that cover [start, end), an hour more on both sides."""
-    first = changeset_sequence(start, newest, newest_at)
-    if (late := time_of(first) - start) > timedelta(0):
-        first -= _minutes(late)
-    if (early := start - time_of(first)) > timedelta(0) and early.seconds != 900:
-        first += _minutes(early) - 60
-    last = newest
-    if end is not None and end <= newest_at:
-        last = changeset_sequence(end, newest, newest_at)
-        if (gap := end - time_of(last)) > timedelta(0):
-            last += _minutes(gap) + 1
-        if (gap := time_of(last) - end) > timedelta(0):
-            last += _minutes(gap) + 60
-        last = min(last, newest)
-    if first >= last:
+    """Sequence numbers of changeset files that cover [start, end), CHANGESET_PAD more on both sides, held to the newest.
+
+    The guess of one file a minute is corrected once by the time of the file it leads to. An empty range raises ConfigError.
+    """
+
+    def near(at: datetime) -> int:
+        guess = changeset_sequence(at, newest, newest_at)
+        return guess + _minutes(at - time_of(guess))
+
+    first = near(start) - CHANGESET_PAD
+    last = newest if end is None or end > newest_at else min(newest, near(end) + CHANGESET_PAD)
+    if start >= newest_at or first >= last:
         raise ConfigError("already up to date")
     return range(first, last + 1)
 

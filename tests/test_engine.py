@@ -105,7 +105,7 @@ def test_merge(spark):
 def test_rank_without_ties(spark):
     df = spark.createDataFrame([(i, f"u{i}", 5) for i in range(7)], "uid long, name string, map_changes long")
     assert [r["rank"] for r in stats.ranked(df).orderBy("uid").collect()] == list(range(1, 8))
-    assert [r["rank"] for r in stats.ranked_by_range(df).orderBy("uid").collect()] == list(range(1, 8))
+    assert [r["rank"] for r in stats.top_ranked(df, 7).orderBy("uid").collect()] == list(range(1, 8))
     assert report.top(df, 5, "map_changes", "uid").count() == 5
 
 
