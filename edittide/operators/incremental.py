@@ -19,10 +19,10 @@ def _numbers(df: DataFrame, skip: Sequence[str]) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType) and f.name not in skip]
 
 
-def merge(old: DataFrame, new: DataFrame, key: str, skip: Sequence[str] = ("rank",)) -> DataFrame:
+def merge(old: DataFrame, new: DataFrame, key: str, skip: Sequence[str] = ("rank",), counts: Sequence[str] = ()) -> DataFrame:
     """Full outer merge on `key`: numbers added, comma lists united, JSON counts added, other columns from the
     new side if it has them. A column that one side lacks counts as NULL there. Distinct counts are
-    added too, so what both sides saw counts twice; `snapshot_merge` is exact."""
+    added too, so what both sides saw counts twice; `snapshot_merge` is exact. counts: further columns of JSON counts."""
     names = [c for c in dict.fromkeys([*old.columns, *new.columns]) if c != key and c not in skip]
     numbers = {*_numbers(old, (key, *skip)), *_numbers(new, (key, *skip))}
     a = old.select(key, *[F.col(c).alias(f"a_{c}") for c in names if c in old.columns])
@@ -34,9 +34,9 @@ def merge(old: DataFrame, new: DataFrame, key: str, skip: Sequence[str] = ("rank
         y = F.col(f"b_{c}") if c in new.columns else F.lit(None).cast(old.schema[c].dataType)
         if c in numbers:
             return C.add_known(x, y)
-        if c in LISTS:
+        if c in LISTS and c not in counts:
             return C.joined_union(x, y)
-        if c in MAPS:
+        if c in MAPS or c in counts:
             return C.count_json(C.map_sum(C.counts_from_json(x), C.counts_from_json(y)))
         return F.coalesce(x, y) if c == "name" else F.coalesce(y, x)
 

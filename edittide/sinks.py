@@ -75,12 +75,25 @@ def markdown(users: DataFrame, start: str, end: str, lists: Sequence[str] = (),
     if lengths:
         sums = users.agg(*[F.bround(F.coalesce(F.sum(f"{x}_len_m"), F.lit(0)) / 1000).alias(x) for x in lengths]).first()
         out += [f"- {x} length created: {human(sums[x])} km" for x in lengths]
+    if "tags_create" in users.columns:
+        for a in ("create", "modify"):
+            out += ["", f"Top tags ({a}):", *[f"- {r['tag']}: {human(r['n'])}" for r in report.sum_maps(users, f"tags_{a}", 5).collect()]]
+    if "tasks_mapped" in users.columns:
+        for c, what in (("tasks_mapped", "mappers"), ("tasks_validated", "validators")):
+            found = report.top(users.filter(F.col(c) > 0), 5, c, "uid").collect()
+            out += ["", f"Top project {what}:", *[f"- {r['name']}: {human(r[c])} tasks" for r in found]] if found else []
     for c in lists:
         if c in users.columns and report.has_any(users, c).first()["any"]:
             out += ["", f"Trending {c}:", *[f"- {r['item']}: {r['n']} users" for r in report.trending(users, c).collect()]]
     return "\n".join(out) + "\n"
 
 
+def elapsed(seconds: float) -> str:
+    """Seconds as hours, minutes and seconds."""
+    minutes, rest = divmod(int(seconds), 60)
+    return f"{minutes // 60} hours {minutes % 60} minutes {rest} seconds"
+
+
 def metadata(command: str, source: str, start: str, end: str, start_seq: str = "", end_seq: str = "") -> str:
     """Run metadata as JSON; the value after a password option is blotted out."""
     safe = re.sub(r"(--password[= ])(\"[^\"]*\"|'[^']*'|\S+)", r"\1***", command)
