@@ -24,7 +24,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from edittide.llm.common import cut, shared_dir
+from edittide.llm.common import cut, removed, shared_dir
 
 #: Bytes of an archive before the next one starts; gap that is read over; most bytes read at once.
 ARCHIVE, GAP, READ = 256 << 20, 64 << 10, 8 << 20
@@ -38,13 +38,22 @@ def base32_sha1(payload: Column) -> Column:
     return F.concat(*[part(i) for i in range(4)])
 
 
-def _record(kind: str, page: int | None, url: str, digest: str, refers: int | None, payload: bytes) -> bytes:
+def _record_id(page: int | None, digest: str) -> str:
+    """The same for rows with the same page_id and payload only."""
+    return f"<{uuid.uuid5(uuid.NAMESPACE_URL, f'{page}:{digest}').urn}>"
+
+
+def _clean(url: str) -> str:
+    return re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url)
+
+
+def _record(kind: str, page: int | None, url: str, digest: str, refers: int | None, target: str | None, payload: bytes) -> bytes:
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
     block = http + (payload if kind == "response" else b"")
-    clean = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url)
-    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{page}>", f"WARC-Target-URI: {clean}", f"WARC-Date: {EPOCH}", f"WARC-Payload-Digest: sha1:{digest}"]
+    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {_record_id(page, digest)}", f"X-Page: {page}", f"WARC-Target-URI: {_clean(url)}", f"WARC-Date: {EPOCH}", f"WARC-Payload-Digest: sha1:{digest}"]
     if kind == "revisit":
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers}>"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {_record_id(refers, digest)}", f"X-Refers-To-Page: {refers}"]
+        head += [f"WARC-Refers-To-Target-URI: {_clean(target)}"] if target else []
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return gzip.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n", 6, mtime=0)
 
@@ -61,8 +70,8 @@ def _writer(folder: str, limit: int):
         try:
             for b in batches:
                 rows = []
-                for page, url, html, digest, kind, refers in zip(*(c.to_pylist() for c in b.columns)):
-                    data = _record(kind, page, url or "", digest, refers, (html or "").encode())
+                for page, url, html, digest, kind, refers, target in zip(*(c.to_pylist() for c in b.columns)):
+                    data = _record(kind, page, url or "", digest, refers, target, (html or "").encode())
                     if out is None or at + len(data) > limit and at:
                         if out is not None:
                             out.close()
@@ -89,12 +98,12 @@ def write(pages: DataFrame, folder: str, least: int = 0, limit: int = ARCHIVE) -
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"))
     rows = rows.withColumns({"digest": base32_sha1(F.encode("html", "utf-8")), "bytes": F.octet_length("html")})
-    firsts = rows.groupBy("digest", "bytes").agg(F.min("page_id").alias("first"))
+    firsts = rows.groupBy("digest", "bytes").agg(F.min("page_id").alias("first"), F.min_by("url", "page_id").alias("target"))
     who = rows.select("page_id", "digest", "bytes").distinct().join(firsts, ["digest", "bytes"])
     again = (F.col("bytes") >= least) & ~F.col("page_id").eqNullSafe(F.col("first"))
-    who = who.select(F.col("page_id").alias("_p"), F.col("digest").alias("_d"), F.when(again, "revisit").otherwise("response").alias("kind"), F.when(again, F.col("first")).alias("refers_to"))
+    who = who.select(F.col("page_id").alias("_p"), F.col("digest").alias("_d"), F.when(again, "revisit").otherwise("response").alias("kind"), F.when(again, F.col("first")).alias("refers_to"), F.when(again, F.col("target")).alias("target"))
     told = rows.join(who, F.col("page_id").eqNullSafe(F.col("_p")) & (F.col("digest") == F.col("_d")))
-    told = told.select("page_id", "url", F.when(F.col("kind") == "response", F.col("html")).alias("html"), "digest", "kind", "refers_to")
+    told = told.select("page_id", "url", F.when(F.col("kind") == "response", F.col("html")).alias("html"), "digest", "kind", "refers_to", "target")
     return cut(told.mapInArrow(_writer(folder, limit), _INDEX))
 
 
@@ -139,11 +148,10 @@ def _reader(folder: str, payloads: bool):
                     raw = zlib.decompress(data[offset - start : offset - start + length], 31)
                     fields, payload = _parse(raw)
                     kind = fields["WARC-Type"]
-                    refers = re.search(r"page:(-?\w+)", fields.get("WARC-Refers-To", ":page:None"))[1]
                     digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
                     if kind == "response" and base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest:
                         raise ValueError(f"{name} at {offset}: the payload does not have its digest")
-                    out.append((number(re.search(r"page:(-?\w+)", fields["WARC-Record-ID"])[1]), url, kind, number(refers), digest, payload if payloads else len(payload).to_bytes(8, "big")))
+                    out.append((number(fields["X-Page"]), url, kind, number(fields.get("X-Refers-To-Page", "None")), digest, payload if payloads else len(payload).to_bytes(8, "big")))
                 yield pa.RecordBatch.from_pylist([dict(zip(_READ_ARROW.names, r)) for r in out], schema=_READ_ARROW)
         if held is not None:
             held[1].close()
@@ -160,12 +168,14 @@ def read(index: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
     return rows.mapInArrow(_reader(folder, payloads), _READ)
 
 
-def round_trip(pages: DataFrame) -> DataFrame:
-    """Writes all pages and reads them back: page_id, payload_bytes, payload_digest, record_type, refers_to, url."""
+def round_trip(pages: DataFrame, keep: bool = False) -> DataFrame:
+    """Writes all pages, reads them back, and removes the archives unless they are to be kept: page_id, payload_bytes, payload_digest, record_type, refers_to, url."""
     folder = f"{shared_dir(pages.sparkSession).rstrip('/')}/warc-{uuid.uuid4().hex}"
     folder = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
     index = write(pages, folder)
     got = cut(read(index, folder, payloads=False).withColumn("n", F.conv(F.hex("payload"), 16, 10).cast("long")).drop("payload"))
+    if not keep:
+        removed(pages.sparkSession, folder)
     sizes = got.filter("kind = 'response'").select(F.col("page_id").alias("_p"), F.col("digest").alias("_d"), F.col("n").alias("_n")).distinct()
     full = got.join(sizes, F.col("refers_to").eqNullSafe(F.col("_p")) & (F.col("digest") == F.col("_d")) & (F.col("kind") == "revisit"), "left")
     return full.select("page_id", F.coalesce("_n", "n").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("kind").alias("record_type"), "refers_to", "url")

@@ -411,6 +411,12 @@ def test_warc(spark, tmp_path):
     index = warc.write(pages, folder, least=5, limit=300)
     some = {r["page_id"]: r for r in warc.read(index.filter("page_id in (1, 3, 9)"), folder).collect()}
     assert some[3]["kind"] == "response" and bytes(some[3]["payload"]) == b"same" and bytes(some[9]["payload"]).decode() == "é" * 100_000
+    import gzip
+    import os
+
+    records = b"".join(gzip.decompress(open(f"{tmp_path}/w/{f}", "rb").read()) for f in os.listdir(tmp_path / "w") if f.endswith(".gz")).decode()
+    by_page = {m[2]: m[1] for m in re.finditer(r"WARC-Record-ID: (\S+)\r\nX-Page: (\S+)", records)}
+    assert len(set(by_page.values())) == len(by_page) == 6 and f"WARC-Refers-To: {by_page['1']}" not in records
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
