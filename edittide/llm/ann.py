@@ -27,7 +27,7 @@ SAMPLE, LIST, LISTS, BLOCK = 20_000, 64, 2_048, 4_096
 #: Ratio of distances up to which a vector is replicated, and its lists at most; the same for a query's lists.
 NEAR, COPIES, WIDE, PROBES = 1.06, 4, 1.35, 48
 #: Near centroids of each in the graph; entries; centroids kept in a search for a query's lists, and for a vector's.
-DEGREE, ENTRIES, KEPT, KEPT_OWN = 24, 32, 64, 64
+DEGREE, ENTRIES, KEPT, KEPT_OWN = 24, 32, 64, 16
 #: Of the sweep: components of the queries that are sent at once (more take more sweeps), vectors scored at once, pairs held by a task.
 SENT, PIECE, HELD = 4_000_000, 512, 1_000_000
 
@@ -59,46 +59,47 @@ class Graph:
     """Centroids with their nearest centroids, searched best first for many vectors at once."""
 
     def __init__(self, c: np.ndarray, seed: int = 11):
-        self.c = c
-        self.near = np.stack([np.argsort(r, kind="stable")[1 : DEGREE + 1] for r in _squares(c, c)]) if len(c) > 1 else np.zeros((1, 0), np.int64)
-        self.entries = np.sort(np.random.default_rng(seed).choice(len(c), min(ENTRIES, len(c)), replace=False))
+        self.c = c.astype(np.float32)
+        self.norm = (self.c * self.c).sum(1)
+        self.near = np.stack([np.argsort(r, kind="stable")[1 : DEGREE + 1] for r in _squares(c, c)]).astype(np.int32) if len(c) > 1 else np.zeros((1, 0), np.int32)
+        self.entries = np.sort(np.random.default_rng(seed).choice(len(c), min(ENTRIES, len(c)), replace=False)).astype(np.int32)
 
     def search(self, x: np.ndarray, kept: int = KEPT) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and distances (rows x kept) of near centroids, nearest first."""
-        kept = min(kept, len(self.c))
-        norm = (self.c * self.c).sum(1)
-        d = _squares(x, self.c[self.entries])
-        ids = np.broadcast_to(self.entries, d.shape)
-        done = np.zeros((len(x), len(self.c)), bool)
-        seen = np.zeros((len(x), len(self.c)), bool)
-        np.put_along_axis(seen, ids, True, 1)
-        row = np.arange(len(x))
+        """Ids and distances (rows x kept) of near centroids, nearest first; beyond what is found the distance is infinite."""
+        x = x.astype(np.float32)
+        square = (x * x).sum(1)
+        kept, rows = min(kept, len(self.c)), np.arange(len(x))[:, None]
+        ids = np.broadcast_to(self.entries, (len(x), len(self.entries)))
+        d = self.norm[ids] + square[:, None] - 2 * x @ self.c[self.entries].T
+        seen, done = np.zeros((2, len(x), len(self.c)), bool)
+        slot = np.zeros((len(x), len(self.c)), np.int16)
+        seen[rows, ids] = True
         while True:
-            order = np.argsort(d, axis=1, kind="stable")[:, :kept]
-            ids, d = np.take_along_axis(ids, order, 1), np.take_along_axis(d, order, 1)
-            fresh = ~np.take_along_axis(done, ids, 1) & np.isfinite(d)
-            if not fresh.any():
+            if d.shape[1] > kept:
+                best = np.argpartition(d, kept - 1, axis=1)[:, :kept]
+                ids, d = ids[rows, best], d[rows, best]
+            open_ = np.where(done[rows, ids], np.inf, d)
+            if not np.isfinite(open_).any():
                 break
-            pick = np.argsort(~fresh, axis=1, kind="stable")[:, :4]
-            ok = np.take_along_axis(fresh, pick, 1)
-            now = np.take_along_axis(ids, pick, 1)
-            done[np.repeat(row, ok.sum(1)), now[ok]] = True
+            pick = np.argpartition(open_, min(4, kept) - 1, axis=1)[:, :4]
+            ok, now = np.isfinite(open_[rows, pick]), ids[rows, pick]
+            done[np.broadcast_to(rows, now.shape)[ok], now[ok]] = True
             more = self.near[now].reshape(len(x), -1)
-            new = ~np.take_along_axis(seen, more, 1) & np.repeat(ok, self.near.shape[1], axis=1)
-            order = np.argsort(more, axis=1, kind="stable")
-            same = np.zeros_like(new)
-            s = np.take_along_axis(more, order, 1)
-            np.put_along_axis(same, order[:, 1:], s[:, 1:] == s[:, :-1], 1)
-            seen[np.repeat(row, more.shape[1]), more.ravel()] |= new.ravel()
-            new &= ~same
-            far = np.where(new, norm[more] + (x * x).sum(1)[:, None] - 2 * np.einsum("ijk,ik->ij", self.c[more], x), np.inf)
-            ids, d = np.concatenate([ids, more], 1), np.concatenate([d, np.maximum(far, 0)], 1)
-        return ids, np.sqrt(d)
+            slot[rows, more] = np.arange(more.shape[1], dtype=np.int16)
+            new = np.repeat(ok, self.near.shape[1], axis=1) & ~seen[rows, more] & (slot[rows, more] == np.arange(more.shape[1]))
+            seen[rows, more] |= new
+            r, col = np.nonzero(new)
+            far = np.full(more.shape, np.inf, np.float32)
+            node = more[r, col]
+            far[r, col] = self.norm[node] + square[r] - 2 * np.einsum("ij,ij->i", self.c[node], x[r])
+            ids, d = np.concatenate([ids, more], 1), np.concatenate([d, far], 1)
+        order = np.argsort(d, axis=1, kind="stable")
+        return ids[rows, order], np.sqrt(np.maximum(d[rows, order], 0)).astype(np.float64)
 
 
 def _lists(graph, longest: float, query: bool, number: pa.DataType):
-    """Rows (key, v): a row (key, list, v, own) for each of the vector's lists; own: the first."""
-    schema = pa.schema([("key", pa.int64()), ("list", pa.int64()), ("v", pa.list_(number)), ("own", pa.bool_())])
+    """Rows (key, v): a row (key, list, v, own, lists) for each of the vector's lists; own: the first; lists: how many there are."""
+    schema = pa.schema([("key", pa.int64()), ("list", pa.int64()), ("v", pa.list_(number)), ("own", pa.bool_()), ("lists", pa.int64())])
     ratio, most, kept = (WIDE, PROBES, KEPT) if query else (NEAR, COPIES, KEPT_OWN)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,7 +113,7 @@ def _lists(graph, longest: float, query: bool, number: pa.DataType):
                 keep = (d <= ratio * d[:, :1] + 1e-12) & np.isfinite(d)
                 keep[:, most:] = False
                 row, col = np.nonzero(keep)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(ids[row, col]), part.column(1).take(pa.array(row)).cast(pa.list_(number)), pa.array(col == 0)], schema=schema)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(ids[row, col]), part.column(1).take(pa.array(row)).cast(pa.list_(number)), pa.array(col == 0), pa.array(keep.sum(1)[row])], schema=schema)
 
     return run
 
@@ -182,38 +183,62 @@ def _swept(sent, k: int, longest: float):
 
 
 def _scored(k: int):
-    """Rows sorted by (list, salt, kind): a block of a list (kind 0), then queries (kind 1)."""
+    """Rows sorted by (list, salt, kind): a block of a list (kind 0), then queries (kind 1). Pairs (query, key, score): the `take` best of a query
+    in a block, with all that are as good as the last one, and no more than k of what the task holds."""
     schema = pa.schema([("query", pa.int64()), ("key", pa.int64()), ("score", pa.float64())])
 
+    def settled(out: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+        who, key, score = (np.concatenate(c) for c in zip(*out))
+        order = np.lexsort((key, -score, who))
+        who, key, score = who[order], key[order], score[order]
+        new = np.ones(len(who), bool)
+        new[1:] = (who[1:] != who[:-1]) | (key[1:] != key[:-1])
+        who, key, score = who[new], key[new], score[new]
+        first = np.arange(len(who)) - np.searchsorted(who, who) < k
+        return who[first], key[first], score[first]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, keys, vectors, block = None, [], [], None
+        out: list[tuple[np.ndarray, ...]] = []
+        pairs = 0
         for b in batches:
-            where = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
-            kinds, ids = b.column(2).to_numpy(), b.column(3).to_numpy()
-            x = np.stack(b.column(4).to_numpy(zero_copy_only=False)).astype(np.float64) if b.num_rows else None
-            i = 0
-            out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-            while i < len(where):
-                j = i
-                while j < len(where) and where[j] == where[i] and kinds[j] == kinds[i] and j - i < 256:
-                    j += 1
-                if where[i] != at:
-                    at, keys, vectors, block = where[i], [], [], None
-                if kinds[i] == 0:
-                    keys.append(ids[i:j])
-                    vectors.append(x[i:j])
-                    block = None
-                elif keys:
-                    if block is None:
-                        block = np.concatenate(vectors), np.concatenate(keys)
-                    v, own = block
-                    rough = x[i:j] @ v.T
-                    top = np.argpartition(-rough, min(k, len(own)) - 1, axis=1)[:, : min(k, len(own))] if len(own) > k else np.broadcast_to(np.arange(len(own)), rough.shape)
-                    exact = (v[top] * x[i:j, None, :]).sum(2)
-                    out.append((np.repeat(ids[i:j], top.shape[1]), own[top].ravel(), exact.ravel()))
-                i = j
-            cols = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], schema=schema)
+            if not b.num_rows:
+                continue
+            lists, salts, kinds, ids, takes = (b.column(i).to_numpy() for i in (0, 1, 2, 3, 5))
+            x = np.stack(b.column(4).to_numpy(zero_copy_only=False)).astype(np.float64)
+            turns = (lists[1:] != lists[:-1]) | (salts[1:] != salts[:-1]) | (kinds[1:] != kinds[:-1])
+            ends = [0, *(np.flatnonzero(turns) + 1).tolist(), len(lists)]
+            for start, end in zip(ends, ends[1:]):
+                for i in range(start, end, 256):
+                    j = min(i + 256, end)
+                    where = (lists[i], salts[i])
+                    if where != at:
+                        at, keys, vectors, block = where, [], [], None
+                    if kinds[i] == 0:
+                        keys.append(ids[i:j])
+                        vectors.append(x[i:j])
+                        block = None
+                    elif keys:
+                        if block is None:
+                            block = np.concatenate(vectors), np.concatenate(keys)
+                        v, own = block
+                        rough = x[i:j] @ v.T
+                        some = min(int(takes[i:j].max()), len(own))
+                        top = -np.sort(np.partition(-rough, some - 1, axis=1)[:, :some], axis=1)
+                        # what is as good as the last one, but for rounding, is scored too, so that ties go by id
+                        least = np.take_along_axis(top, np.minimum(takes[i:j], some)[:, None] - 1, 1) - 1e-9 * (np.abs(top[:, :1]) + 1)
+                        row, col = np.nonzero(rough >= least)
+                        out.append((ids[i:j][row], own[col], (v[col] * x[i:j][row]).sum(1)))
+                        pairs += len(row)
+                    if pairs > HELD:
+                        out = [settled(out)]
+                        pairs = len(out[0][0])
+                        # What has to be held for so many queries can be more than HELD.
+                        if pairs > HELD // 2:
+                            yield pa.RecordBatch.from_arrays([pa.array(c) for c in out[0]], schema=schema)
+                            out, pairs = [], 0
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in settled(out)], schema=schema)
 
     return run
 
@@ -222,7 +247,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, exact: bool = True)
     """Per row of `queries` (vec_id, embedding) its k nearest rows of `vectors` but itself: query_id, rank, vec_id, score.
 
     score: inner product in double precision, of the vectors as they are (array of float or double); ties to the smaller vec_id. A vector that is
-    null, zero, or holds null or non-finite components takes no part, nor does one whose dimension is not the most common one, nor one without
+    null, zero, or holds null or non-finite components takes no part, nor does one whose dimension is not that of most rows, nor one without
     vec_id. Rows that share a vec_id are one vector, the first in the order of arrays. No vectors: no rows. Not `exact`: of the lists that
     are read first only.
     """
@@ -234,14 +259,13 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, exact: bool = True)
         e = F.col("embedding").cast(f"array<{kind}>")
         bad = F.exists(e, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
         ok = df.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(e, lambda x: x + F.lit(0.0).cast(kind)).alias("v"), bad.alias("bad"))
-        ok = ok.filter("vec_id is not null and v is not null and not bad").filter(F.exists("v", lambda x: x != 0))
-        return ok.groupBy("vec_id").agg(F.min("v").alias("v"))
+        return ok.filter("vec_id is not null and v is not null and not bad").filter(F.exists("v", lambda x: x != 0))
 
-    all_, asked = cut(usable(vectors)), cut(usable(queries))
+    all_, asked = usable(vectors), usable(queries)
     sizes = all_.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("c")).orderBy(F.desc("c"), "d").first()
     if sizes is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    all_, asked = all_.filter(F.size("v") == sizes["d"]), asked.filter(F.size("v") == sizes["d"])
+    all_, asked = (df.filter(F.size("v") == sizes["d"]).groupBy("vec_id").agg(F.min("v").alias("v")) for df in (all_, asked))
     # A vector's key is the smallest of its ids. Of each, the k + 1 smallest ids are kept; the limit works before the shuffle.
     w = Window.partitionBy("v").orderBy("vec_id")
     few = cut(all_.withColumns({"r": F.row_number().over(w), "key": F.first("vec_id").over(w)}).filter(F.col("r") <= k + 1))
@@ -253,15 +277,17 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, exact: bool = True)
     x = np.column_stack([x, np.sqrt(np.maximum(longest**2 - (x * x).sum(1), 0))])
     graph = spark.sparkContext.broadcast(Graph(centroids(x, max(1, min(LISTS, n // LIST, len(x) // 8 or 1)))))
 
-    rows_of = f"key long, list long, v array<{kind}>, own boolean"
+    rows_of = f"key long, list long, v array<{kind}>, own boolean, lists long"
     posted = cut(distinct.mapInArrow(_lists(graph, longest, False, number), rows_of))
     each_asked = asked.groupBy("v").agg(F.min("vec_id").alias("key")).select("key", "v")
     probes = each_asked.mapInArrow(_lists(graph, longest, True, number), rows_of)
     blocks = posted.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
-    cells = ("list", "salt", "kind", "key", "v")
+    # To find a floor, the more lists a query reads, the fewer of the best of each it takes.
+    cells = ("list", "salt", "kind", "key", "v", "take")
+    take = F.least(F.lit(k + 1), F.ceil(F.lit(3 * (k + 1)) / F.col("lists"))) if exact else F.lit(k + 1)
     dealt = posted.join(blocks, "list").withColumn("salt", F.pmod(F.xxhash64("key"), "blocks"))
-    members = dealt.withColumn("kind", F.lit(0)).select(*cells)
-    ask = probes.join(blocks, "list").withColumns({"salt": F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)), "kind": F.lit(1)}).select(*cells)
+    members = dealt.withColumns({"kind": F.lit(0), "take": F.lit(0).cast("long")}).select(*cells)
+    ask = probes.join(blocks, "list").withColumns({"salt": F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)), "kind": F.lit(1), "take": take.cast("long")}).select(*cells)
     rows = members.unionByName(ask).repartition("list", "salt").sortWithinPartitions("list", "salt", "kind")
     found = rows.mapInArrow(_scored(k + 1), "query long, key long, score double").distinct()
     pairs = found
