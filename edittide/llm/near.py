@@ -9,9 +9,10 @@
 3. Bands of coordinates are hashed into buckets. In a bucket every member is verified against the
    bucket's smallest id on the full sets: linear in the bucket, whatever its size.
 4. Classes that a bucket holds but that these links do not join may still be linked to each other.
-   Such a class is compared with the others of its hub, in tiles of bounded size; the triangle inequality on the
-   distances to the hub and the agreement of the sketches, held as four bits a coordinate, choose the pairs that the
-   tile compares on the full sets. A tile emits only links that join components. Nothing is capped.
+   Such a class meets the others of its hub in tiles of bounded size that hold sketches, at four bits a coordinate, and no
+   texts. Sizes, the triangle inequality on the distances to the hub and the agreement of the sketches choose pairs; rows
+   without a pair end here. For the rest the texts are fetched and the tile compares the same pairs on the full sets,
+   emitting only links that join components. Nothing is capped.
 5. Links become components by alternating large-star and small-star steps.
 """
 
@@ -33,7 +34,7 @@ ROWS, MISS = 5, 1e-6
 #: Sketch coordinates for each one that the bands use; the rest sharpen the comparison of sketches.
 WIDER = 6
 #: Members and shingles, on average, that one block of a hub holds, and the texts that ask it in one tile.
-BLOCK_MEMBERS, BLOCK_SHINGLES, BLOCK_ASKERS = 512, 4_000_000, 4096
+BLOCK_MEMBERS, BLOCK_SHINGLES, BLOCK_ASKERS = 512, 4_000_000, 512
 #: Rows of four numbers at most that may be broadcast, by their count.
 SMALL_TABLE = 500_000
 #: Standard deviations of sketch agreement below the threshold that are still verified.
@@ -124,11 +125,19 @@ def _compared(k: int):
     return run
 
 
+def _texts_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """The rows of `docs` whose doc_id is among `ids` (one column, doc_id), or more: ids that are too many to broadcast choose nothing,
+    and the join that follows leaves out the rest."""
+    ids = cut(ids.distinct())
+    return docs.join(F.broadcast(ids), "doc_id", "left_semi") if ids.count() <= SMALL_TABLE else docs
+
+
 def verified(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """(hub, doc, common, of_hub, of_doc) of each distinct pair (hub, doc), from the full sets.
 
     Pairs of a hub of over BLOCK_MEMBERS are dealt in blocks, each of which streams past the hub's set.
     """
+    docs = _texts_of(pairs.select(F.explode(F.array("hub", "doc")).alias("doc_id")), docs)
     large = cut(pairs.groupBy("hub").agg(F.count("*").alias("c")).filter(F.col("c") > BLOCK_MEMBERS))
     if large.count() <= SMALL_TABLE:  # then the pairs need not meet by hub, which may be hot
         large = F.broadcast(large)
@@ -140,18 +149,73 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     return rows.mapInArrow(_compared(k), "hub long, doc long, common long, of_hub long, of_doc long").distinct()
 
 
+_TILE = "hub long, tile long, kind int, doc long, comp long, n long, far double, bits binary"
+#: Coordinates, of two, in which two bytes of sketch agree, by their exclusive or.
+_EQUAL = np.array([(x >> 4 == 0) + (x & 15 == 0) for x in range(256)], np.uint8)
+
+
+def _packed(block: list[tuple]) -> tuple[np.ndarray, ...]:
+    """Arrays of the members of a tile, from rows that start with (doc, comp, n, far, kind, bits)."""
+    return tuple(np.array(c) for c in list(zip(*block))[:5]) + (np.frombuffer(b"".join(x[5] for x in block), np.uint8).reshape(len(block), -1),)
+
+
+def _chosen(members: tuple[np.ndarray, ...], asker: tuple, low: float, percent: int) -> np.ndarray:
+    """Places of the members that are compared with the asker (doc, comp, n, far, bits): of other components, close enough by their
+    sizes and distances to the hub, with sketches that agree in `low` of the coordinates at least."""
+    docs, comps, ns, fars, kinds, sketch = members
+    doc, comp, n, far, bits = asker
+    apart, least = 1 - percent / 100 + 1e-9, percent / 100 - 1e-9
+    # two texts that ask meet twice; the larger id compares them
+    fit = (comps != comp) & ((kinds == 0) | (docs < doc)) & (np.abs(fars - far) <= apart) & (np.minimum(ns, n) >= least * np.maximum(ns, n))
+    near = np.flatnonzero(fit)
+    same = _EQUAL[sketch[near] ^ np.frombuffer(bits, np.uint8)].mean(axis=1) / 2
+    return near[same >= low]
+
+
+def _with_pairs(low: float, percent: int):
+    """Rows sorted by (hub, tile, kind, doc), as in `_near_blocks` but without texts: those that the tile compares with any other."""
+    names = [f.split()[0] for f in _TILE.split(", ")]
+    schema = pa.schema([pa.field(n, t) for n, t in zip(names, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.binary()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, block, members, used = None, [], None, np.zeros(0, bool)
+
+        def kept() -> list[tuple]:
+            return [(*key, kind, doc, comp, n, far, bits) for (doc, comp, n, far, kind, bits), u in zip(block, used) if u]
+
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * len(names), schema)], schema=schema)
+
+        for batch in batches:
+            out: list[tuple] = []
+            for hub, tile, kind, doc, comp, n, far, bits in zip(*(batch.column(c).to_pylist() for c in names)):
+                if (hub, tile) != key:
+                    out += kept()
+                    key, block, members, used = (hub, tile), [], None, np.zeros(0, bool)
+                if kind < 2:
+                    block.append((doc, comp, n, far, kind, bits))
+                elif block:
+                    if members is None:
+                        members, used = _packed(block), np.zeros(len(block), bool)
+                    near = _chosen(members, (doc, comp, n, far, bits), low, percent)
+                    if len(near):
+                        used[near] = True
+                        out.append((hub, tile, kind, doc, comp, n, far, bits))
+            yield batch_of(out)
+        yield batch_of(kept())
+
+    return run
+
+
 def _near_blocks(k: int, low: float, percent: int):
     """Rows sorted by (hub, tile, kind, doc): a block of members (kind 0: in the hub's component, 1: not), then texts that ask
     it (kind 2).
 
-    Sketches that agree in `low` of the coordinates at least, the distances to the hub and the sizes choose the pairs of
-    different components that are compared on their full sets, here in the block. Emits the linked pairs that join
+    The `_chosen` pairs are compared on their full sets, here in the block. Emits the linked pairs that join
     components which the block has not joined so far: fewer than it has texts, whatever the number of pairs.
     """
     inside = W.table("space")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    equal = np.array([(x >> 4 == 0) + (x & 15 == 0) for x in range(256)], np.uint8)
-    apart, least = 1 - percent / 100 + 1e-9, percent / 100 - 1e-9
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, block, packed, parent = None, [], None, {}
@@ -178,15 +242,9 @@ def _near_blocks(k: int, low: float, percent: int):
                     if not block:
                         continue
                     if packed is None:
-                        packed = tuple(np.array(c) for c in list(zip(*block))[:5]) + (np.frombuffer(b"".join(x[5] for x in block), np.uint8).reshape(len(block), -1),)
-                    docs, comps, ns, fars, kinds, sketch = packed
-                    # two texts that ask meet twice; the larger id compares them
-                    fit = (comps != comp) & ((kinds == 0) | (docs < doc)) & (np.abs(fars - far) <= apart) & (np.minimum(ns, n) >= least * np.maximum(ns, n))
-                    near = np.flatnonzero(fit)
-                    if not len(near):
-                        continue
-                    same = equal[sketch[near] ^ np.frombuffer(bits, np.uint8)].mean(axis=1) / 2
-                    for x in near[same >= low].tolist():
+                        packed = _packed(block)
+                    docs, comps = packed[:2]
+                    for x in _chosen(packed, (doc, comp, n, far, bits), low, percent).tolist():
                         one, other = root(int(comps[x])), root(comp)
                         if one == other:
                             continue
@@ -269,18 +327,20 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     if mixed.count() <= SMALL_TABLE:  # as above; beyond that, the join is on its own, so that Spark can split a hot hub
         mixed = F.broadcast(mixed)
     loose = seen.join(mixed, "hub").filter("doc <> hub").withColumn("kind", F.when(F.col("comp") == F.col("home"), 0).otherwise(1))
-    asked = loose.join(reps.select(F.col("doc_id").alias("doc"), "bits"), "doc").join(docs, F.col("doc") == docs.doc_id)
+    asked = loose.join(reps.select(F.col("doc_id").alias("doc"), "bits"), "doc")
     # a tile compares one block of members with one turn of texts that ask
     block, turn = F.pmod(F.xxhash64("doc"), F.col("blocks")), F.pmod(F.xxhash64("doc", F.lit(1)), F.col("turns"))
     zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
     member = F.transform(F.sequence(zero, F.col("turns") - one), lambda x: F.struct((x * F.col("blocks") + block).alias("tile"), F.col("kind").alias("kind")))
     asks = F.transform(F.sequence(zero, F.col("blocks") - one), lambda x: F.struct((turn * F.col("blocks") + x).alias("tile"), F.lit(2).alias("kind")))
     dealt = asked.withColumn("at", F.explode(F.when(F.col("kind") == 0, member).otherwise(F.concat(member, asks))))
-    rows = dealt.select("hub", F.col("at.tile").alias("tile"), F.col("at.kind").alias("kind"), "doc", "comp", "n", "far", "bits", "text")
+    rows = dealt.select("hub", F.col("at.tile").alias("tile"), F.col("at.kind").alias("kind"), "doc", "comp", "n", "far", "bits")
     j = percent / 100 + (1 - percent / 100) / 16  # coordinates are held as four bits
     low = j - SLACK * math.sqrt(j * (1 - j) / t)
-    rows = rows.repartition("hub", "tile").sortWithinPartitions("hub", "tile", "kind", "doc")
-    second = rows.mapInArrow(_near_blocks(k, low, percent), "a long, b long")
+    tiled = lambda df: df.repartition("hub", "tile").sortWithinPartitions("hub", "tile", "kind", "doc")
+    rows = cut(tiled(rows).mapInArrow(_with_pairs(low, percent), _TILE))
+    rows = rows.join(_texts_of(rows.select(F.col("doc").alias("doc_id")), docs).select(F.col("doc_id").alias("doc"), "text"), "doc")
+    second = tiled(rows).mapInArrow(_near_blocks(k, low, percent), "a long, b long")
     links = cut(links.unionByName(second).distinct())
     label = components(links)
 

@@ -349,6 +349,42 @@ def test_near_duplicates(spark, k, percent):
     assert near.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_hub_of_unlike_members(spark, monkeypatch):
+    """5,000 texts that share half their words, so that few hubs hold most of them, and some pairs that are near only to each other."""
+    rng = np.random.default_rng(3)
+    shared = [f"s{i}" for i in range(60)]
+    rows = [(i, shared + [f"w{x}" for x in rng.integers(0, 1 << 40, 40)]) for i in range(5000)]
+    for i in range(100, 5000, 100):
+        w = list(rows[i][1])
+        w[60 + i // 100 % 40] = "other"
+        rows[i + 1] = (i + 1, w)
+    rows = [(i, " ".join(w)) for i, w in rows]
+    # pairs by the shingles that the shared words do not make: two texts that have none in common share 58 of 138 at most
+    sets = {i: near_sets(t) for i, t in rows}
+    holders = {}
+    for i, s in sets.items():
+        for x in s:
+            holders.setdefault(x, []).append(i)
+    near_ids = {(a, b) for h in holders.values() if len(h) < 50 for a in h for b in h if a < b}
+    want = {i: i for i in sets}
+    for a, b in sorted(near_ids):
+        both = len(sets[a] & sets[b])
+        if 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both):
+            want[b] = min(want[b], want[a])
+    assert sum(a != b for a, b in want.items()) == 49
+    fetched = []
+    real = near._texts_of
+    monkeypatch.setattr(near, "_texts_of", lambda ids, docs: fetched.append(ids.distinct().count()) or real(ids, docs))
+    got = near.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == want
+    assert fetched[0] > 2500 and fetched[1] < 500  # most texts meet a hub, few are read again for the tiles
+
+
+def near_sets(text, k=3):
+    w = text.split()
+    return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}
+
+
 def test_rows_that_share_an_id(spark):
     text = lambda a: " ".join(f"{a}{i}" for i in range(20))
     rows = [(1, text("x")), (2, text("y")), (3, text("x")), (3, text("y")), (3, None), (4, text("z")), (4, text("z")), (5, text("z"))]
