@@ -33,8 +33,10 @@ from edittide.llm.common import cut
 ROWS, MISS = 5, 1e-6
 #: Sketch coordinates for each one that the bands use; the rest sharpen the comparison of sketches.
 WIDER = 6
-#: Members and shingles, on average, that one block of a hub holds, and the texts that ask it in one tile.
-BLOCK_MEMBERS, BLOCK_SHINGLES, BLOCK_ASKERS = 512, 4_000_000, 512
+#: Members of a hub that one task verifies against it.
+BLOCK_MEMBERS = 512
+#: Members, and their shingles, that one tile of a hub holds on average, and the texts that ask it.
+TILE_MEMBERS, TILE_SHINGLES, TILE_ASKERS = 2048, 4_000_000, 2048
 #: Rows of four numbers at most that may be broadcast, by their count.
 SMALL_TABLE = 500_000
 #: Standard deviations of sketch agreement below the threshold that are still verified.
@@ -322,8 +324,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     seen = at.unionByName(at.select("hub", F.col("hub").alias("doc"), F.lit(0.0).alias("far"), F.lit(0).cast("long").alias("n")).distinct())
     seen = seen.join(label.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("comp", F.coalesce("component", "doc")).drop("component")
     of_hub = seen.groupBy("hub").agg(F.max(F.when(F.col("doc") == F.col("hub"), F.col("comp"))).alias("home"), F.count("*").alias("c"), F.sum("n").alias("total"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    blocks = F.greatest(F.ceil(F.col("c") / BLOCK_MEMBERS), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("long")
-    mixed = cut(of_hub.filter("lo <> hi").select("hub", "home", blocks.alias("blocks"), F.ceil(F.col("c") / BLOCK_ASKERS).cast("long").alias("turns")))
+    blocks = F.greatest(F.ceil(F.col("c") / TILE_MEMBERS), F.ceil(F.col("total") / TILE_SHINGLES)).cast("long")
+    mixed = cut(of_hub.filter("lo <> hi").select("hub", "home", blocks.alias("blocks"), F.ceil(F.col("c") / TILE_ASKERS).cast("long").alias("turns")))
     if mixed.count() <= SMALL_TABLE:  # as above; beyond that, the join is on its own, so that Spark can split a hot hub
         mixed = F.broadcast(mixed)
     loose = seen.join(mixed, "hub").filter("doc <> hub").withColumn("kind", F.when(F.col("comp") == F.col("home"), 0).otherwise(1))
