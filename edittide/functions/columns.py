@@ -36,6 +36,11 @@ def utc_clock(ts: Column) -> Column:
     return F.timestamp_add("MICROSECOND", F.unix_micros(ts), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
 
 
+def instant(clock: Column) -> Column:
+    """What clocks show in UTC (a time without a zone) as an instant, whatever the session's zone."""
+    return F.timestamp_micros(F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), clock))
+
+
 def day(ts: Column, zoned: bool = True) -> Column:
     """UTC day as yyyy-MM-dd. `zoned`: ts is an instant; else it is UTC time without a zone."""
     if zoned:

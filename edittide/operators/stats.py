@@ -50,21 +50,45 @@ def _names(poi: bool, tags: Sequence[str], lengths: Sequence[str]) -> list[str]:
     return [*COUNTERS, *(f"{t}_{a}" for t in changed for a in ("create", "modify")), *(f"{t}_len_m" for t in lengths)]
 
 
-def user_stats(elements: DataFrame, poi: bool = False, tags: Sequence[str] = (), lengths: Sequence[str] = (), length: str = "len") -> DataFrame:
-    """One row per uid: name first seen, distinct changesets, nine counters and their sum, and what else is asked for.
+def kept(df: DataFrame) -> DataFrame:
+    """The rows as they are now, for plans that read them twice and must see the same partitions: in the checkpoint folder if the session has one,
+    else on the executors' disks."""
+    named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if named:
+        df.sparkSession.sparkContext.setCheckpointDir(named)
+        return df.checkpoint(eager=True)
+    return df.persist(StorageLevel.DISK_ONLY)
+
 
-    Distinct changesets come from a first aggregation by (uid, changeset), which also shrinks the
-    rows for the second; its partial sums run before the shuffle, so a uid with a third of all
-    elements is dealt over its changesets.
+def by_changeset(elements: DataFrame, poi: bool = False, tags: Sequence[str] = (), lengths: Sequence[str] = (), length: str = "len") -> DataFrame:
+    """Counters per (uid, changeset) and the name first seen there, of which `of_users` makes statistics per user.
+
+    Partial sums run before the shuffle, so a uid with a third of all elements is dealt over its changesets. Names are part of the first key, since
+    elements are then summed by hash; a text among the sums would have all of them sorted. Of names seen at the same time the first by letters counts.
     """
-    e = prepared(elements)
-    first = F.struct("ts", *(c for c in ("id", "version") if c in e.columns))
-    measures, names = _measures(poi, tags, lengths, length), _names(poi, tags, lengths)
-    fine = e.groupBy("uid", "changeset").agg(*measures, F.min(F.struct(first.alias("at"), F.col("user"))).alias("seen"))
+    measures, sums = _measures(poi, tags, lengths, length), _names(poi, tags, lengths)
+    named = prepared(elements).groupBy("uid", "changeset", "user").agg(*measures, F.min("ts").alias("at"))
+    return named.groupBy("uid", "changeset").agg(*[F.sum(n).alias(n) for n in sums], F.min(F.struct("at", "user")).alias("seen"))
+
+
+def of_users(fine: DataFrame) -> DataFrame:
+    """One row per uid of the rows of `by_changeset`: name first seen, distinct changesets, sums of the counters."""
+    names = [c for c in fine.columns if c not in ("uid", "changeset", "seen")]
     out = fine.groupBy("uid").agg(F.min("seen")["user"].alias("name"), F.count("changeset").alias("changesets"), *[F.sum(n).alias(n) for n in names])
     return out.withColumn("map_changes", C.map_changes())
 
 
+def user_stats(elements: DataFrame, poi: bool = False, tags: Sequence[str] = (), lengths: Sequence[str] = (), length: str = "len") -> DataFrame:
+    """One row per uid: name first seen, distinct changesets, nine counters and their sum, and what else is asked for."""
+    return of_users(by_changeset(elements, poi, tags, lengths, length))
+
+
+def enriched(elements: DataFrame, described: DataFrame, poi: bool = False, tags: Sequence[str] = (), lengths: Sequence[str] = (), length: str = "len") -> DataFrame:
+    """`user_stats` with the `user_sets` of the users' changesets. Elements are read once: both work on the counters per changeset, which are kept."""
+    fine = kept(by_changeset(elements, poi, tags, lengths, length))
+    return of_users(fine).join(user_sets(fine, described), "uid", "left")
+
+
 def day_summary(elements: DataFrame, poi: bool = False, tags: Sequence[str] = (), lengths: Sequence[str] = (), length: str = "len") -> DataFrame:
     """One row per UTC day: distinct users and changesets, counters and their sum.
 
@@ -78,23 +102,13 @@ def day_summary(elements: DataFrame, poi: bool = False, tags: Sequence[str] = ()
     return out.withColumnRenamed("day", "timestamp").withColumn("map_changes", C.map_changes())
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """The rows as they are now, for plans that read them twice and must see the same partitions: in the checkpoint folder if the session has one,
-    else on the executors' disks."""
-    named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if named:
-        df.sparkSession.sparkContext.setCheckpointDir(named)
-        return df.checkpoint(eager=True)
-    return df.persist(StorageLevel.DISK_ONLY)
-
-
 def ranked(df: DataFrame, by: str = "map_changes", tie: str = "uid") -> DataFrame:
     """Rank 1..n without ties, largest first, `tie` ascending among equals.
 
     No task sees all rows: a range sort, row numbers in each partition, and the number of rows in the partitions before.
     """
     order = F.desc(by), F.asc(tie)
-    spread = _kept(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
+    spread = kept(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
     before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # over one row a partition
     sizes = spread.groupBy("_p").agg(F.count("*").alias("_c")).select("_p", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_b"))
     inside = spread.withColumn("_n", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
@@ -146,6 +160,7 @@ def user_sets(elements: DataFrame, described: DataFrame) -> DataFrame:
     Works on distinct (uid, changeset) pairs, so the counters are not multiplied by the arrays.
     """
     names = [c for c in ("countries", "hashtags", "editors") if c in described.columns]
+    described = described.select("id", *names)
     pairs = elements.select("uid", "changeset").distinct().join(described.withColumnRenamed("id", "changeset"), "changeset")
 
     def labelled(c: str) -> Column:

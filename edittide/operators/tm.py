@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from edittide.functions import columns as C
+from edittide.operators import stats
 
 _COUNTS = ("tasks_mapped", "tasks_validated", "tasks_total")
 
@@ -27,8 +28,9 @@ def rollup(contributions: DataFrame) -> DataFrame:
 def with_contributions(users: DataFrame, contributions: DataFrame, hashtags: str = "hashtags") -> DataFrame:
     """Users with their tasks over the projects that their hashtags name; 0 and NULL without any.
 
-    Matching is by name, so users of one name share what that name has.
+    Matching is by name, so users of one name share what that name has. Users are read twice, so they are kept as they are.
     """
+    users = stats.kept(users)
     asked = users.select("name", F.explode(C.project_ids(F.col(hashtags))).alias("tm_projects")).distinct()
     per_name = asked.join(rollup(contributions), ["name", "tm_projects"], "left").groupBy("name")
     mine = per_name.agg(

@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from edittide import sinks
 from edittide.functions import columns as C
 from edittide.functions import geometry as G
 from edittide.operators import changesets as CS
 from edittide.operators import filters, incremental, report, stats, tm, viewer
 from edittide.plans import standin as V
 from edittide.schema import ACTIONS, COUNTERS, KINDS
+from edittide.sources import replication
+from edittide.streaming import increments
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -197,13 +201,19 @@ def country_join(spark, d):
     return CS.with_countries(V.changesets(spark, d), V.boundaries(spark, d)).select("id", "country")
 
 
-def _sets(spark, d):
-    return stats.user_sets(V.elements(spark, d), CS.describe(V.changesets(spark, d), V.boundaries(spark, d)))
+def _described(spark, d, *names):
+    """Changesets with the lists that are asked for; countries, which need the boundaries, only then."""
+    names = names or ("countries", "hashtags", "editors")
+    return CS.describe(V.changesets(spark, d), V.boundaries(spark, d) if "countries" in names else None).select("id", *names)
+
+
+def _sets(spark, d, *names):
+    return stats.user_sets(V.elements(spark, d), _described(spark, d, *names))
 
 
 @query(f", {_SETS} SELECT s.*, sets.* EXCLUDE (uid) FROM ({_users()}) s LEFT JOIN sets USING (uid)")
 def user_enrichment(spark, d):
-    return stats.user_stats(V.elements(spark, d)).join(_sets(spark, d), "uid", "left")
+    return stats.enriched(V.elements(spark, d), _described(spark, d))
 
 
 @query("SELECT day, editor, count(*) AS n FROM elements JOIN changesets ON id = changeset GROUP BY ALL")
@@ -227,19 +237,19 @@ def element_type_totals(spark, d):
     return report.kind_totals(stats.user_stats(V.elements(spark, d)))
 
 
-def _named_sets(spark, d):
+def _named_sets(spark, d, column):
     names = V.table(spark, d, "customer").select(F.col("c_custkey").alias("uid"), F.col("c_name").alias("name"))
-    return _sets(spark, d).join(names, "uid")
+    return _sets(spark, d, column).join(names, "uid")
 
 
 @query(f", {_SETS} SELECT item, count(*) AS users FROM (SELECT uid, unnest(string_split(countries, ',')) AS item FROM sets) GROUP BY item ORDER BY users DESC, item LIMIT 20")
 def users_per_country(spark, d):
-    return report.users_per(_named_sets(spark, d), "countries", 20, blanks=True)
+    return report.users_per(_named_sets(spark, d, "countries"), "countries", 20, blanks=True)
 
 
 @query(f", {_SETS} SELECT item, count(*) AS users FROM (SELECT uid, unnest(string_split(hashtags, ',')) AS item FROM sets) WHERE trim(item) <> '' GROUP BY item ORDER BY users DESC, item LIMIT 20")
 def users_per_hashtag(spark, d):
-    return report.users_per(_named_sets(spark, d), "hashtags", 20)
+    return report.users_per(_named_sets(spark, d, "hashtags"), "hashtags", 20)
 
 
 _EDITOR_USERS = "SELECT regexp_extract(item, '^[a-z]+') || ' ' || right(item, 1) AS item, count(DISTINCT uid) AS users FROM (SELECT uid, unnest(string_split(editors, ',')) AS item FROM sets) GROUP BY 1"
@@ -248,7 +258,7 @@ _EDITOR_USERS = "SELECT regexp_extract(item, '^[a-z]+') || ' ' || right(item, 1)
 @query(f", {_SETS}, per AS ({_EDITOR_USERS}), cut AS (SELECT *, row_number() OVER (ORDER BY users DESC, item) AS n FROM per) SELECT CASE WHEN n <= 8 THEN item ELSE 'Others' END AS item, CAST(sum(users) AS BIGINT) AS users, round(100.0 * CAST(sum(users) AS DOUBLE) / (SELECT sum(users) FROM per), 6) AS percent FROM cut GROUP BY 1")
 def editor_share(spark, d):
     label = F.concat_ws(" ", C.editor(F.col("item")), F.right("item", F.lit(1)))
-    rows = report.items(_sets(spark, d), "editors").withColumn("item", label)
+    rows = report.items(_sets(spark, d, "editors"), "editors").withColumn("item", label)
     per = rows.select("uid", "item").distinct().groupBy("item").agg(F.count("*").alias("users"))
     return report.shares(per, 8, "item", "users")
 
@@ -271,17 +281,17 @@ def _trend(column: str) -> str:
 
 @query(_trend("hashtags"))
 def trending_hashtags(spark, d):
-    return report.trending(_sets(spark, d), "hashtags")
+    return report.trending(_sets(spark, d, "hashtags"), "hashtags")
 
 
 @query(_trend("editors"))
 def trending_editors(spark, d):
-    return report.trending(_sets(spark, d), "editors")
+    return report.trending(_sets(spark, d, "editors"), "editors")
 
 
 @query(_trend("countries"))
 def trending_countries(spark, d):
-    return report.trending(_sets(spark, d), "countries")
+    return report.trending(_sets(spark, d, "countries"), "countries")
 
 
 @query(f"SELECT * FROM (SELECT *, {_RANK} AS rank FROM ({_users()})) WHERE rank <= 50")
@@ -320,7 +330,7 @@ def profile_links(spark, d):
 
 @query("SELECT DISTINCT CAST(id % 50 AS VARCHAR) AS project FROM changesets WHERE id IN (SELECT changeset FROM elements)")
 def tm_projects(spark, d):
-    return tm.project_ids(_sets(spark, d))
+    return tm.project_ids(_sets(spark, d, "hashtags"))
 
 
 _ROLL = "SELECT name, tm_projects, min(tm_mapping_level) AS tm_mapping_level, CAST(sum(tasks_mapped) AS BIGINT) AS tasks_mapped, CAST(sum(tasks_validated) AS BIGINT) AS tasks_validated, CAST(sum(tasks_total) AS BIGINT) AS tasks_total FROM contributions GROUP BY name, tm_projects"
@@ -344,7 +354,7 @@ mine AS (SELECT name, string_agg(tm_projects, ',' ORDER BY tm_projects) AS tm_pr
 
 
 def _with_tm(spark, d):
-    return tm.with_contributions(_named_sets(spark, d).select("uid", "name", "hashtags"), V.contributions(spark, d))
+    return tm.with_contributions(_named_sets(spark, d, "hashtags").select("uid", "name", "hashtags"), V.contributions(spark, d))
 
 
 @query(f"{_TM_USERS} SELECT uid, mine.* FROM mine JOIN (SELECT DISTINCT uid, name FROM elements) USING (name)")
@@ -416,8 +426,119 @@ def multi_source_union(spark, d):
     return stats.user_stats(e.unionByName(filters.in_range(e, END, None)))
 
 
+@query("SELECT strftime(ts, '%Y-%m-%d') AS day, action, count(*) AS n FROM elements GROUP BY ALL")
+def daily_windows(spark, d):
+    """The streaming windows of one UTC day over a table."""
+    return increments.day_counts(V.elements(spark, d))
+
+
+@query(f"SELECT rank, name, 'https://www.openstreetmap.org/user/' || replace(name, '#', '%23') AS profile, uid, changesets, map_changes, {', '.join(f'{c} AS "{c.replace("_", ".")}"' for c in COUNTERS)}, '{START}' AS start_date, '{END}' AS end_date FROM (SELECT *, {_RANK} AS rank FROM ({_users(f"ts >= TIMESTAMP '{START}' AND ts < TIMESTAMP '{END}'")}))")
+def export_table(spark, d):
+    """Ranked users as they are exported: profile, start and end of the range, dotted counters."""
+    users = stats.ranked(stats.user_stats(filters.in_range(V.elements(spark, d), START, END)))
+    return sinks.export_columns(sinks.with_profile(users, START, END))
+
+
 # --- sources, geometry, viewer ----------------------------------------------------------------
 
+_PATH = "substr(p, 1, 3) || '{0}' || substr(p, 4, 3) || '{0}' || substr(p, 7)"
+
+
+@query(f"SELECT o_orderkey AS seq, 'temp/changefiles/minute/' || {_PATH.format('_')} || '.osc.gz' AS path FROM (SELECT o_orderkey, lpad(CAST(o_orderkey AS VARCHAR), 9, '0') AS p FROM orders)")
+def landing_paths(spark, d):
+    seq = F.col("o_orderkey")
+    url = C.sequence_path(seq, "https://example.org/replication/minute/", ".osc.gz")
+    return V.table(spark, d, "orders").select(seq.alias("seq"), C.cache_path(url, "changefiles").alias("path"))
+
+
+@query("SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 < 4 THEN o_orderkey END AS sequence, CASE WHEN o_orderkey % 5 < 4 THEN strftime(o_orderdate + INTERVAL (o_orderkey % 86400) SECOND, '%Y-%m-%d %H:%M:%S') END AS at FROM orders")
+def state_parse(spark, d):
+    """State files of both kinds, and texts that are none."""
+    key = F.col("o_orderkey")
+    at = F.timestamp_add("SECOND", (key % 86400).cast("int"), F.col("o_orderdate").cast("timestamp_ntz"))
+    clock = lambda pattern: F.date_format(at, pattern)
+    feed = F.concat(F.lit("#x\nsequenceNumber="), key.cast("string"), F.lit("\ntimestamp="), F.replace(clock("yyyy-MM-dd HH:mm:ss"), F.lit(" "), F.lit("T")), F.lit("Z\n"))
+    feed = F.when(key % 5 == 0, F.replace(feed, F.lit(":"), F.lit("\\:"))).otherwise(feed)
+    run = F.concat(F.lit("---\nlast_run: "), clock("yyyy-MM-dd HH:mm:ss"), F.lit(".123 +00:00\nsequence: "), key.cast("string"))
+    text = F.when(key % 5 == 4, F.lit("<html>no such file</html>")).when(key % 5 == 3, run).otherwise(feed)
+    parsed = C.utc_clock(C.state_timestamp(text))
+    return V.table(spark, d, "orders").select(key.alias("id"), C.state_sequence(text).alias("sequence"), F.date_format(parsed, "yyyy-MM-dd HH:mm:ss").alias("at"))
+
+
+@query("SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE epoch(o_orderdate) - 3600 * (CASE WHEN o_orderkey % 3 = 1 THEN 0 ELSE 2 END) END::BIGINT AS seconds FROM orders")
+def date_parse(spark, d):
+    """Texts with an offset as instants; others are NULL."""
+    key, text = F.col("o_orderkey"), F.date_format(F.col("o_orderdate").cast("timestamp_ntz"), "yyyy-MM-dd HH:mm:ss")
+    text = F.when(key % 3 == 0, text).when(key % 3 == 1, F.concat(text, F.lit("+00:00"))).otherwise(F.concat(text, F.lit("+02:00")))
+    return V.table(spark, d, "orders").select(key.alias("id"), F.unix_seconds(C.parse_utc(text)).alias("seconds"))
+
+
+@query("SELECT id, try_cast(cell AS DOUBLE) AS value FROM (SELECT o_orderkey AS id, CASE o_orderkey % 5 WHEN 0 THEN '-' || o_orderkey || '.25' WHEN 1 THEN 'n/a' WHEN 2 THEN '' WHEN 3 THEN NULL ELSE o_orderkey || 'e2' END AS cell FROM orders)")
+def number_cells(spark, d):
+    key = F.col("o_orderkey")
+    text = key.cast("string")
+    cell = F.when(key % 5 == 0, F.concat(F.lit("-"), text, F.lit(".25"))).when(key % 5 == 1, "n/a").when(key % 5 == 2, "").when(key % 5 == 4, F.concat(text, F.lit("e2")))
+    return V.table(spark, d, "orders").select(key.alias("id"), C.number(cell).alias("value"))
+
+
+@query("SELECT o_orderkey AS id, CASE o_orderkey % 3 WHEN 0 THEN 'https://raw.githubusercontent.com/a/b/main/' || o_orderkey || '.csv' WHEN 1 THEN 'https://github.com/a/b/' || o_orderkey ELSE 'https://example.org/blob/' || o_orderkey END AS url FROM orders")
+def raw_urls(spark, d):
+    key = F.col("o_orderkey")
+    url = F.when(key % 3 == 0, F.concat(F.lit("https://github.com/a/b/blob/main/"), key.cast("string"), F.lit(".csv")))
+    url = url.when(key % 3 == 1, F.concat(F.lit("https://github.com/a/b/"), key.cast("string"))).otherwise(F.concat(F.lit("https://example.org/blob/"), key.cast("string")))
+    return V.table(spark, d, "orders").select(key.alias("id"), C.raw_url(url).alias("url"))
+
+
+@query("SELECT id, CASE WHEN id % 7 <> 0 THEN (lon + lon + 3) / 2 END AS x, (lat - 1 + lat) / 2 AS y FROM changesets")
+def box_centroids(spark, d):
+    """Middles of boxes; a box without an edge has none."""
+    lon, lat = F.col("lon"), F.col("lat")
+    return V.changesets(spark, d).select("id", G.centroid(lon, F.when(F.col("id") % 7 != 0, lon + 3)).alias("x"), G.centroid(lat - 1, lat).alias("y"))
+
+
+#: A feed that writes a file every 50 seconds since EPOCH, and the range that is planned over it.
+_EPOCH, _FROM, _TO = (datetime(2024, 1, *t, tzinfo=timezone.utc) for t in ((1,), (3, 5, 30, 20), (3, 9)))
+_STEP, _NEWEST = timedelta(seconds=50), 6_000
+
+
+def _plan_sql(first: str, last: str, folder: str, suffix: str) -> str:
+    path = _PATH.format("/")
+    return f"SELECT seq, 'https://example.org/{folder}/' || {path} || '{suffix}' AS url FROM (SELECT seq, lpad(CAST(seq AS VARCHAR), 9, '0') AS p FROM (SELECT unnest(generate_series({first}, {last})) AS seq))"
+
+
+def _at(seq: int) -> datetime:
+    return _EPOCH + seq * _STEP
+
+
+@query(_plan_sql("(2 * 86400 + 5 * 3600 + 30 * 60 + 20) // 50 - 60", "least(6000, (2 * 86400 + 9 * 3600) // 50 + 60)", "minute", ".osc.gz"))
+def change_file_plan(spark, d):
+    """Minute files of a range: the last one not after its start less an hour's files, and as many after its end."""
+    plan = replication.change_sequences(_FROM, _TO, "minute", lambda t: min(_NEWEST, (t - _EPOCH) // _STEP), _at, _NEWEST)
+    return replication.planned(spark, plan, "https://example.org/minute/")
+
+
+#: The start of every preset as of a Sunday noon, from the calendar alone.
+_NOW = datetime(2024, 3, 31, 12, 34, 56, tzinfo=timezone.utc)
+_PRESETS = {
+    "last_hour": ("date_trunc('hour', n) - INTERVAL 1 HOUR", "date_trunc('hour', n)"),
+    "last_day": ("date_trunc('day', n) - INTERVAL 1 DAY", "date_trunc('day', n)"),
+    "last_week": ("date_trunc('week', n) - INTERVAL 7 DAY", "date_trunc('week', n) - INTERVAL 1 DAY"),
+    "last_month": ("date_trunc('month', n) - INTERVAL 1 MONTH", "date_trunc('month', n)"),
+    "last_year": ("date_trunc('year', n) - INTERVAL 1 YEAR", "date_trunc('year', n) - INTERVAL 1 DAY"),
+}
+
+
+@query(" UNION ALL ".join(f"SELECT '{name}' AS preset, strftime({a}, '%Y-%m-%d %H:%M') AS first, strftime({b}, '%Y-%m-%d %H:%M') AS last FROM (SELECT TIMESTAMP '2024-03-31 12:34:56' AS n)" for name, (a, b) in _PRESETS.items()))
+def range_presets(spark, d):
+    rows = [(name, *(t.strftime("%Y-%m-%d %H:%M") for t in replication.preset(name, _NOW))) for name in _PRESETS]
+    return spark.createDataFrame(rows, "preset string, first string, last string")
+
+
+@query("SELECT unnest(['https://example.org/replication/minute', 'https://a.example.org/x', 'https://example.org/replication/day']) AS url")
+def source_aliases(spark, d):
+    urls = replication.source_urls(["minute", "https://a.example.org/x", "day", "minute", "https://a.example.org/x"], "https://example.org")
+    return spark.createDataFrame([(u,) for u in urls], "url string")
+
 
 @query("SELECT o_orderkey AS seq, 'https://example.org/' || substr(p, 1, 3) || '/' || substr(p, 4, 3) || '/' || substr(p, 7) || '.osm.gz' AS url, 'https://example.org/' || substr(p, 1, 3) || '/' || substr(p, 4, 3) || '/' || substr(p, 7) || '.state.txt' AS state FROM (SELECT o_orderkey, lpad(CAST(o_orderkey AS VARCHAR), 9, '0') AS p FROM orders)")
 def sequence_urls(spark, d):
@@ -427,16 +548,14 @@ def sequence_urls(spark, d):
 
 @query("SELECT lower(n_name) AS id, 'https://example.org/' || lower(n_name) || '-updates' AS update_url FROM nation WHERE lower(n_name) IN ('nation_3', 'nation_7')")
 def country_url_lookup(spark, d):
-    from edittide.sources import replication
-
     catalogue = V.table(spark, d, "nation").select(F.lower("n_name").alias("id"), F.concat(F.lit("https://example.org/"), F.lower("n_name"), F.lit("-updates")).alias("update_url"))
     return replication.extract_urls(catalogue, ("Nation_3", "nation_7"))
 
 
 @query("SELECT o_orderkey AS id, day, minutes FROM (SELECT o_orderkey, strftime(o_orderdate + INTERVAL 345 MINUTE, '%Y-%m-%d %H:%M') AS day, CAST(epoch(o_orderdate) / 60 - epoch(TIMESTAMP '1998-01-01 00:00:00') / 60 AS BIGINT) AS minutes FROM orders)")
 def zone_and_minutes(spark, d):
-    at = F.col("o_orderdate").cast("timestamp")
-    return V.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.date_format(C.in_zone(at, "Asia/Kathmandu"), "yyyy-MM-dd HH:mm").alias("day"), C.minutes_between(at, F.lit("1998-01-01 00:00:00").cast("timestamp")).alias("minutes"))
+    at, since = (C.instant(t.cast("timestamp_ntz")) for t in (F.col("o_orderdate"), F.lit("1998-01-01 00:00:00")))
+    return V.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.date_format(C.in_zone(at, "Asia/Kathmandu"), "yyyy-MM-dd HH:mm").alias("day"), C.minutes_between(at, since).alias("minutes"))
 
 
 @query("SELECT event_id, strftime(make_timestamp((1700000000 + event_id * 7919) * 1000000), '%Y-%m-%d') AS day FROM events")
@@ -504,4 +623,4 @@ def viewer_sort(spark, d):
 
 @query(f", {_SETS} SELECT bool_or(coalesce(countries, '') <> '') AS \"any\" FROM sets")
 def column_has_text(spark, d):
-    return report.has_any(_sets(spark, d), "countries")
+    return report.has_any(_sets(spark, d, "countries"), "countries")

@@ -122,9 +122,10 @@ def calculate(spark: SparkSession, config: StatsConfig, inputs: Inputs, boundary
         e = stats.way_lengths(e)
     e = filters.in_range(e, start, end)
     e = filters.selected(e, kept, c.users, filtering=bool(c.hashtags or c.field_mappers or boundary is not None or (c.users and kept is not None)))
-    users = stats.user_stats(e, poi=True, tags=c.tags, lengths=c.length)
-    if kept is not None:
-        users = users.join(stats.user_sets(e, CS.describe(kept, inputs.countries)), "uid", "left")
+    if kept is None:
+        users = stats.user_stats(e, poi=True, tags=c.tags, lengths=c.length)
+    else:
+        users = stats.enriched(e, CS.describe(kept, inputs.countries), poi=True, tags=c.tags, lengths=c.length)
     if c.all_tags:
         users = users.join(_maps(e, "uid", c), "uid", "left")
     if c.tm_stats:

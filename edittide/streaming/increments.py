@@ -11,15 +11,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from edittide.functions import columns as C
 from edittide.operators import incremental, stats
 
 
 def day_counts(elements: DataFrame, late: str = "1 hour") -> DataFrame:
-    """(day, action, n) in one-day windows; elements later than `late` behind the newest are dropped."""
-    e = elements.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
-    e = stats.prepared(e)
-    return e.groupBy(F.window("ts", "1 day").alias("w"), "action").agg(F.count("*").alias("n")).select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "action", "n")
+    """(day, action, n) in windows of one UTC day; elements later than `late` behind the newest are dropped in a stream."""
+    if isinstance(elements.schema["ts"].dataType, T.TimestampNTZType):  # a watermark needs instants
+        elements = elements.withColumn("ts", C.instant(F.col("ts")))
+    e = stats.prepared(elements.withWatermark("ts", late))
+    return e.groupBy(F.window("ts", "1 day").alias("w"), "action").agg(F.count("*").alias("n")).select(C.day(F.col("w.start")).alias("day"), "action", "n")
 
 
 def snapshot(spark: SparkSession, path: str, version: int) -> DataFrame | None:

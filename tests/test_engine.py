@@ -205,3 +205,41 @@ def test_stream_equals_batch(spark, tmp_path):
     q = increments.day_counts(stream).writeStream.format("memory").queryName("days").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("days").count() == 8
+
+
+def test_changeset_plan():
+    zero = datetime(2024, 1, 1, tzinfo=UTC)
+    time_of = lambda s: zero + timedelta(minutes=s)
+    plan = lambda a, b: replication.changeset_sequences(a, b, 5000, time_of(5000), time_of)
+    got = plan(zero + timedelta(minutes=600), zero + timedelta(minutes=700))
+    assert (got[0], got[-1]) == (540, 760)
+    assert plan(zero + timedelta(minutes=600), None)[-1] == 5000 and plan(zero + timedelta(minutes=600), zero + timedelta(minutes=4990))[-1] == 5000
+    with pytest.raises(ConfigError):
+        plan(time_of(5000), None)
+
+
+def test_windows_are_utc_days_in_any_zone(spark):
+    kind = "osm_type string, version int, deleted boolean, ts timestamp_ntz, uid long, user string, changeset long, tags map<string,string>"
+    e = spark.createDataFrame([("nodes", 1, False, datetime(2024, 1, d, h), 1, "u", d, {}) for d, h in ((1, 0), (1, 23), (2, 2))], kind)
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        zoned = e.withColumn("ts", F.make_timestamp(F.year("ts"), F.month("ts"), F.dayofmonth("ts"), F.hour("ts"), F.lit(0), F.lit(0), F.lit("UTC")))
+        for df in (e, zoned):
+            assert sorted((r["day"], r["n"]) for r in increments.day_counts(df).collect()) == [("2024-01-01", 2), ("2024-01-02", 1)]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_names_within_a_changeset(spark):
+    at = lambda m: datetime(2024, 1, 1, 0, m)
+    rows = [("nodes", 1, False, at(5), 1, "late", 7, {}), ("nodes", 2, False, at(1), 1, "early", 7, {}), ("ways", 1, False, at(9), 1, "late", 8, {}), ("nodes", 1, False, at(1), 2, "b", 9, {}), ("nodes", 1, False, at(1), 2, "a", 9, {}), ("nodes", 1, False, at(1), 3, None, 9, {})]
+    e = spark.createDataFrame(rows, "osm_type string, version int, deleted boolean, ts timestamp, uid long, user string, changeset long, tags map<string,string>")
+    got = {r["uid"]: (r["name"], r["changesets"], r["map_changes"]) for r in stats.user_stats(e).collect()}
+    assert got == {1: ("early", 2, 3), 2: ("a", 1, 2), 3: (None, 1, 1)}
+
+
+def test_enriched_reads_what_the_parts_read(spark):
+    e = spark.createDataFrame([("nodes", 1, False, datetime(2024, 1, 1), u, f"u{u}", c, {}) for u, c in ((1, 1), (1, 2), (2, 2), (3, 9))], "osm_type string, version int, deleted boolean, ts timestamp, uid long, user string, changeset long, tags map<string,string>")
+    cs = spark.createDataFrame([(1, ["#a"], ["x"]), (2, ["#b", "#a"], [])], "id long, hashtags array<string>, editors array<string>")
+    got = sorted(tuple(r) for r in stats.enriched(e, cs).select("uid", "changesets", "hashtags", "editors").collect())
+    assert got == [(1, 2, "#a,#b", "x"), (2, 1, "#a,#b", ""), (3, 1, None, None)]
